@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import packing, secrets, syncmers, tokens
+from . import decontaminate, minhash, packing, secrets, syncmers, tokens, warc
 
 
 def op1_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(C.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_syncmers, op2_token_counts, op4_secret_scan, op5_packing)}
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(C.table(spark, sf_dir, "pages"))
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(C.table(spark, sf_dir, "documents"), n=2)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_syncmers, op2_token_counts, op4_secret_scan, op5_packing, op6_decontamination, op9_warc, op10_minhash)}
 
 ORACLE_SQL: dict[str, str] = {}
