@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import itertools
 import re
 import tempfile
@@ -13,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import importable
+
 #: Texts go through numpy in runs of about so many bytes, which bounds a task's memory.
 BLOCK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,6 +64,22 @@ BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C
 BASE = 0x5851F42D4C957F2D
 
 
+@functools.lru_cache(maxsize=4)
+def _powers(n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    base = (BASE + 8 * salt) | 1
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        x = np.full(n, b, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+def powers(n: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd number and of its inverse modulo 2^64."""
+    return _powers(1 << max(22, int(n).bit_length()), salt)
+
+
 def power(n: int) -> np.uint64:
     return np.uint64(pow(BASE, n, 1 << 64))
 
@@ -131,3 +152,72 @@ def fresh(columns: list[str], wanted: str) -> str:
 def doc_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, with fixed names and types; other columns, clashing or not, never come along."""
     return docs.select(F.col(plain(id_col)).cast("long").alias("doc_id"), F.coalesce(F.col(plain(text_col)).cast("string"), F.lit("")).alias("text"))
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes saved tables that are no longer needed, and lets Spark's cleaner drop the shuffle files of plans that are gone."""
+    jvm = spark.sparkContext._jvm
+    for df in tables:
+        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.System.gc()
+
+
+def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, d, t, text: (d, t) orders documents; a null id comes last, and t tells texts of one id apart where ids repeat.
+
+    Rows that are equal in id and text share a key: they are one document, and get the same result.
+    """
+    rows = doc_rows(docs, id_col, text_col).withColumn("d", F.coalesce("doc_id", F.lit(2**63 - 1)))
+    repeated = rows.groupBy("d").count().where("count > 1").limit(1).count() > 0
+    return rows.withColumn("t", F.xxhash64("text") if repeated else F.lit(0).cast("long")).select("doc_id", "d", "t", "text")
+
+
+def united(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of intervals, as maximal runs in order; touching ones become one."""
+    if not len(starts):
+        return starts, ends
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    new = np.concatenate([[True], starts[1:] > reach[:-1]])
+    first = np.flatnonzero(new)
+    return starts[first], reach[np.concatenate([first[1:] - 1, [len(reach) - 1]])]
+
+
+REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start long, end long>>"
+
+
+def cut_out(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """rows (keyed_rows) and byte spans (d, t, start, end) to remove, many for each key: what is removed of each row, and the
+    digest of what is left. A shuffle of the texts; the spans of a document come together only as intervals of its bytes."""
+    lists = spans.groupBy("d", "t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+    def work(batches):
+        for batch in batches:
+            texts, found = texts_of(batch.column("text")), batch.column("spans")
+            out = []
+            for i, raw in enumerate(texts):
+                x = found[i].values
+                if x is None or not len(x):
+                    out.append((len(raw), 0, [], hashlib.sha256(raw).hexdigest()))
+                    continue
+                a, b = united(x.field("start").to_numpy(zero_copy_only=False), x.field("end").to_numpy(zero_copy_only=False))
+                at, keep = 0, hashlib.sha256()
+                for s, e in zip(a.tolist(), b.tolist(), strict=True):
+                    keep.update(raw[at:s])
+                    at = e
+                keep.update(raw[at:])
+                out.append((len(raw), int((b - a).sum()), [{"start": s, "end": e} for s, e in zip(a.tolist(), b.tolist(), strict=True)], keep.hexdigest()))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": batch.column("doc_id"),
+                    "n_bytes": pa.array([x[0] for x in out], pa.int64()),
+                    "n_removed": pa.array([x[1] for x in out], pa.int64()),
+                    "n_spans": pa.array([len(x[2]) for x in out], pa.int64()),
+                    "kept_sha256": pa.array([x[3] for x in out], pa.string()),
+                    "removed": pa.array([x[2] for x in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                }
+            )
+
+    return rows.join(lists, ["d", "t"], "left").select("doc_id", "text", "spans").mapInArrow(work, REMOVED)

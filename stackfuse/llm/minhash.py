@@ -19,7 +19,6 @@ are exact copies. Empty tables give empty results. Only the id and text columns
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
 import numpy as np
@@ -42,18 +41,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2^64."""
-    inverse = pow(C.BASE | 1, -1, 1 << 64)
-    out = []
-    for b in (C.BASE | 1, inverse):
-        x = np.full(n, b, np.uint64)
-        x[0] = 1
-        out.append(np.multiply.accumulate(x))
-    return out[0], out[1]
-
-
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """Per text the sorted distinct hashes (64 bits) of its n-word shingles; of all words together where they are fewer."""
     if not texts:
@@ -63,7 +50,7 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     space = _SPACE[low]
     before = np.concatenate([[True], space[:-1]])
     starts, stops = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
-    up, down = _powers(1 << max(21, int(len(low)).bit_length()))
+    up, down = C.powers(len(low))
     prefix = np.concatenate([[np.uint64(0)], np.cumsum(C.BYTE_CODES[low] * up[: len(low)])])
     words = C.mix((prefix[stops] - prefix[starts]) * down[starts] + (stops - starts).astype(np.uint64))
     bounds = np.searchsorted(starts, np.concatenate([[0], ends]))
