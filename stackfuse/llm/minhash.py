@@ -207,7 +207,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
                 sets = [s.tobytes() for s in shingle_sets(texts[start:end], n)]
                 yield pa.RecordBatch.from_pydict({"id": part.column("id"), "pivot": part.column("pivot"), "set": pa.array(sets, pa.binary())})
 
-    sets = C.saved(rows.join(inside, "id").mapInArrow(full, "id long, pivot long, set binary").where("length(set) > 0"), "minhash-sets")
+    # texts and members both grow with the corpus: sorted and merged at every size
+    sets = C.saved(rows.join(inside.hint("merge"), "id").mapInArrow(full, "id long, pivot long, set binary").where("length(set) > 0"), "minhash-sets")
     pivots = sets.where("id = pivot").select("pivot", F.col("set").alias("own"))
 
     def compared(batches):
@@ -246,5 +247,5 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col:
     kept = near_duplicates(docs, n, percent, id_col, text_col).where("kept").select(F.coalesce("doc_id", F.lit(LAST)).alias("id")).distinct()
     key = C.fresh(docs.columns, "key_of_row")
     rows = docs.withColumn(key, F.coalesce(F.col(C.plain(id_col)).cast("long"), F.lit(LAST)))
-    stay = rows.join(kept.withColumnRenamed("id", key), key, "left_semi")
+    stay = rows.join(kept.withColumnRenamed("id", key).hint("merge"), key, "left_semi")
     return stay.dropDuplicates([key, *[c for c in docs.columns if c.lower() in (id_col.lower(), text_col.lower())]]).drop(key)
