@@ -18,7 +18,7 @@ def scene(seed, h=97, w=131):
     return np.clip(img * 60 / img.std() + 128, 0, 255)
 
 
-@pytest.mark.parametrize("side, levels", [(8, 0), (16, 0), (17, 1), (32, 1), (33, 2), (64, 2), (1024, 6)])
+@pytest.mark.parametrize("side, levels", [(8, 0), (16, 0), (17, 1), (32, 1), (33, 1), (34, 2), (64, 2), (1024, 6)])
 def test_levels(side, levels):
     assert compute_levels((side, 2000)) == levels
 
