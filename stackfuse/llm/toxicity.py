@@ -30,7 +30,7 @@ from . import common as C
 
 WINDOW, STRIDE = 30, 20
 WORDS, GRAMS, WIDE, HIDDEN = 1 << 14, 1 << 15, 12, 8
-PER_CLASS, MOST_BYTES = 1500, 16 << 20
+PER_CLASS, MOST_BYTES = 1500, 8 << 20
 #: Windows that go through the network at once.
 AT_ONCE = 4096
 
@@ -66,9 +66,10 @@ def words_of(texts: list[bytes], window: int = WINDOW, stride: int = STRIDE) ->
     first = np.cumsum(count) - count
     spot = np.repeat(a - 1, count) + np.arange(int(count.sum())) - np.repeat(first, count)
     run = np.zeros(len(spot), np.uint32)
+    stop = np.repeat(b, count)  # a space; of a single letter the run is filled up with it
     for j in range(4):
-        run = (run << np.uint32(8)) | low[spot + j]
-    grams = (C.mix(run.astype(np.uint64)) >> np.uint64(20)).astype(np.int64) % GRAMS
+        run = (run << np.uint32(8)) | low[np.minimum(spot + j, stop)]
+    grams = ((C.mix(run.astype(np.uint64)) >> np.uint64(20)) % np.uint64(GRAMS)).astype(np.int32)
     bounds = np.searchsorted(starts, np.concatenate([[0], ends]))
     size = np.diff(bounds)
     many = np.maximum(1, -(-(size - window) // stride) + 1)
@@ -156,8 +157,12 @@ class Network:
 
     def logits(self, texts: list[bytes]) -> tuple[np.ndarray, Words]:
         words = words_of(texts)
+        return self.over(words), words
+
+    def over(self, words: Words) -> np.ndarray:
+        """The logits of all windows."""
         inputs = self.inputs(self.vectors(words))
-        return np.concatenate([self.forward(inputs, words.windows[i : i + AT_ONCE]) for i in range(0, len(words.windows), AT_ONCE)]), words
+        return np.concatenate([self.forward(inputs, words.windows[i : i + AT_ONCE]) for i in range(0, len(words.windows), AT_ONCE)])
 
     def gradients(self, words: Words, windows: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean logistic loss over windows."""
@@ -199,7 +204,7 @@ class Network:
         return g
 
 
-def _subset(words: Words, windows: np.ndarray) -> tuple[Words, np.ndarray]:
+def _subset(words: Words, windows: np.ndarray) -> Words:
     """Only the words that the windows hold."""
     used, at = np.unique(windows, return_inverse=True)
     at = at.reshape(windows.shape)
@@ -208,38 +213,91 @@ def _subset(words: Words, windows: np.ndarray) -> tuple[Words, np.ndarray]:
     count = np.diff(np.append(words.first, len(words.grams)))[used]
     first = np.cumsum(count) - count
     spots = np.repeat(words.first[used], count) + np.arange(int(count.sum())) - np.repeat(first, count)
-    return Words(words.word[used], words.grams[spots], first, at, np.zeros(0, np.int64)), at
-
-
-def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 8, steps: int = 24, batch: int = 256, rate: float = 0.02, seed: int = 3) -> Network:
-    """Rounds: find each document's highest window, then so many steps of Adam on batches of these windows, half of each class."""
+    return Words(words.word[used], words.grams[spots], first, at, np.zeros(0, np.int64))
+
+
+class _Sample:
+    """The windows of all texts, read in runs of about BLOCK_BYTES, which bounds the memory."""
+
+    def __init__(self, texts: list[bytes]):
+        self.parts = [words_of(texts[a:b]) for a, b in C.runs([len(t) for t in texts])]
+        sizes = [len(p.windows) for p in self.parts]
+        self.base = np.cumsum([0, *sizes])
+        texts_before = np.cumsum([0, *(int(p.owner[-1]) + 1 for p in self.parts)])
+        self.owner = np.concatenate([p.owner + n for p, n in zip(self.parts, texts_before, strict=False)])
+        self.first = np.flatnonzero(np.concatenate([[True], np.diff(self.owner) > 0]))
+
+    def logits(self, net: Network) -> np.ndarray:
+        return np.concatenate([net.over(p) for p in self.parts])
+
+    def seeds(self, toxic: np.ndarray) -> np.ndarray:
+        """Of each window the greatest log odds of a word or character run: in how many toxic and clean documents they are."""
+        seen = {"word": np.zeros((2, WORDS)), "gram": np.zeros((2, GRAMS))}
+        doc = 0
+        for p in self.parts:
+            n = len(p.word)
+            pairs = np.unique((p.owner[:, None] * (n + 1) + p.windows + 1).ravel())
+            pairs = pairs[pairs % (n + 1) > 0]
+            owner, word = pairs // (n + 1), pairs % (n + 1) - 1
+            count = np.diff(np.append(p.first, len(p.grams)))[word]
+            spots = np.repeat(p.first[word], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            for key, many, who, what in (("word", WORDS, owner, p.word[word]), ("gram", GRAMS, np.repeat(owner, count), p.grams[spots])):
+                both = np.unique(who.astype(np.int64) * many + what)
+                np.add.at(seen[key], (toxic[doc + both // many], both % many), 1)
+            doc += int(p.owner[-1]) + 1
+        total = np.bincount(toxic, minlength=2)
+        odds = {k: np.log((v[1] + 0.5) / (total[1] + 1)) - np.log((v[0] + 0.5) / (total[0] + 1)) for k, v in seen.items()}
+        out = []
+        for p in self.parts:
+            own = np.maximum(odds["word"][p.word], np.maximum.reduceat(odds["gram"][p.grams], p.first)) if len(p.word) else np.zeros(0)
+            out.append(np.append(own, -np.inf)[p.windows].max(axis=1))
+        return np.concatenate(out)
+
+    def pick(self, which: np.ndarray) -> Words:
+        """Windows by number (ascending), with their words. A word of several runs may stand there more than once."""
+        found = []
+        for p, lo, hi in zip(self.parts, self.base, self.base[1:], strict=False):
+            own = which[(which >= lo) & (which < hi)] - lo
+            if len(own):
+                found.append(_subset(p, p.windows[own]))
+        words = np.cumsum([0, *(len(f.word) for f in found)])
+        grams = np.cumsum([0, *(len(f.grams) for f in found)])
+        windows = np.concatenate([np.where(f.windows >= 0, f.windows + n, -1) for f, n in zip(found, words, strict=False)])
+        return Words(np.concatenate([f.word for f in found]), np.concatenate([f.grams for f in found]), np.concatenate([f.first + n for f, n in zip(found, grams, strict=False)]), windows, np.zeros(0, np.int64))
+
+
+def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 6, steps: int = 24, batch: int = 256, rate: float = 0.02, calm: float = 1e-3, seed: int = 3) -> Network:
+    """Rounds: find each document's highest window, then so many steps of Adam on batches of these windows, half of each class.
+    In the first round it is the window with the word that tells the classes apart best: from random windows, the network would
+    learn whatever else toxic documents have in common, such as the text of a group of copies.
+
+    calm: what Adam adds to the size of a gradient of word and character vectors. Words of one document have gradients far
+    below it and hardly move, else the network would learn documents by heart.
+    """
     net, rng = Network(seed), np.random.default_rng(seed)
-    words = words_of(texts)
-    first = np.flatnonzero(np.concatenate([[True], np.diff(words.owner) > 0]))
-    many = np.diff(np.append(first, len(words.owner)))
-    m, v, t = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2)), None, 0
-    m, v = m
+    sample = _Sample(texts)
+    first = sample.first
+    many = np.diff(np.append(first, len(sample.owner)))
+    m = {k: np.zeros_like(x) for k, x in net.p.items()}
+    v = {k: np.zeros_like(x) for k, x in net.p.items()}
+    t = 0
     classes = [np.flatnonzero(toxic == k) for k in (0, 1)]
     for r in range(rounds):
-        inputs = net.inputs(net.vectors(words))
-        logits = np.concatenate([net.forward(inputs, words.windows[i : i + AT_ONCE]) for i in range(0, len(words.windows), AT_ONCE)])
-        order = np.lexsort((-logits, words.owner))
+        order = np.lexsort((-(sample.logits(net) if r else sample.seeds(toxic)), sample.owner))
         for _ in range(steps):
             docs = np.concatenate([rng.choice(c, batch // 2) for c in classes])
-            # of the first round any window counts; later the highest, and sometimes the next ones
-            reach = many[docs] if r == 0 else np.minimum(many[docs], 2)
-            pick = order[first[docs] + np.floor(rng.random(len(docs)) * reach * (1 if r == 0 or r % 2 else 0)).astype(np.int64)]
-            part, windows = _subset(words, words.windows[pick])
-            g = net.gradients(part, windows, toxic[docs].astype(np.float32))
+            reach = np.minimum(many[docs], 2 if r % 2 else 1)  # every other round the next window too
+            pick = order[first[docs] + np.floor(rng.random(len(docs)) * reach).astype(np.int64)]
+            ascending = np.argsort(pick, kind="stable")
+            words = sample.pick(pick[ascending])
+            g = net.gradients(words, words.windows, toxic[docs[ascending]].astype(np.float32))
             t += 1
             for k, x in net.p.items():
                 m[k] += 0.1 * (g[k] - m[k])
                 v[k] += 0.01 * (g[k] * g[k] - v[k])
-                x -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)
+                x -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + (calm if k in ("word", "gram") else 1e-6))
     # the output's level is set on whole documents, all windows of them: half way between the classes
-    inputs = net.inputs(net.vectors(words))
-    logits = np.concatenate([net.forward(inputs, words.windows[i : i + AT_ONCE]) for i in range(0, len(words.windows), AT_ONCE)])
-    top = np.maximum.reduceat(logits, first)
+    top = np.maximum.reduceat(sample.logits(net), first)
     cuts = np.sort(top)
     wrong = np.array([(top[classes[0]] >= c).mean() + (top[classes[1]] < c).mean() for c in cuts])
     best = np.flatnonzero(wrong == wrong.min())
