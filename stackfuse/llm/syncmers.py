@@ -136,6 +136,7 @@ def fingerprint_chain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     n = C.partitions(spark)
     many = 4 * n
     spans = sorted({float(x) for x in rows.approxQuantile("key", [i / many for i in range(1, many)], 1 / (4 * many))}) if n > 1 else []
+    spans = spans or [0.0]  # two ranges at least are needed
     cut = Bucketizer(splits=[-float("inf"), *spans, float("inf")], inputCol="as_double", outputCol="bucket")
     placed = cut.transform(rows.withColumn("as_double", F.col("key").cast("double"))).drop("as_double").withColumn("bucket", F.col("bucket").cast("int"))
     heads = sorted(tuple(r) for r in placed.groupBy("bucket").agg(F.max("key")).collect())  # a row for each range
