@@ -4,8 +4,7 @@ Writing. Each page becomes a WARC/1.1 record, a response or (where an earlier pa
 text writer makes the files, with the record terminator (two line ends) as its line separator, so that archives can go to any
 store Spark writes to, and lost tasks are simply run again.
 
-Reading. Files are cut into slices with an overlap of one header. Every place that holds the magic and a whole header is a
-candidate; it names its successor by its content length. Whether it is a record can't be told locally, as payloads may hold
+Reading. Each task reads whole files of RECORDS records. Every place that holds the magic and a whole header is a candidate; it names its successor by its content length. Whether it is a record can't be told locally, as payloads may hold
 the magic. So the candidates of a file form a forest, and pointer jumping from the file's start marks those that the chain of
 successors reaches: reach(i + 1) = reach(i) with its images under jump(i), jump(i + 1) = jump(i) twice. Others are rejected.
 
@@ -28,16 +27,14 @@ from pyspark.sql import functions as F
 from . import common as C
 
 MAGIC = b"WARC/1."
-#: Bytes of a slice; a header may have HEADER bytes at most.
-SLICE, HEADER = 1 << 20, 1 << 16
-#: Records in a file.
-RECORDS = 2000
+#: Records in a file, which bounds what a task holds.
+RECORDS = 1000
 #: Revisits are broadcast to the writers up to so many (24 bytes each), and joined by shuffle beyond.
 BROADCAST = 500_000
 NO_ID = 2**63 - 1
 
 
-def digest(payload: bytes) -> str:
+def digest(payload: bytes | memoryview) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
@@ -108,17 +105,19 @@ def header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     return (fields, at + 2) if re.fullmatch(r"\d{1,18}", fields.get("content-length", "")) else None
 
 
-CANDIDATE = "file string, at long, next long, body long, size long, type string, page_id long, refers_to long, digest string, length long"
+CANDIDATE = "file string, at long, next long, type string, page_id long, refers_to long, digest string, length long, payload_digest string"
 
 
 def _candidates(batches):
+    """Every place of a file that holds a whole header. Its payload is digested at once where the terminator follows it, as it
+    does after each record; so files are read once, and no byte of them is shuffled."""
+    names, kinds = zip(*((n, pa.string() if k == "string" else pa.int64()) for n, k in (x.split(" ") for x in CANDIDATE.split(", "))), strict=True)
     for batch in batches:
-        rows: list[tuple] = []
-        names, starts, parts = batch.column("file").to_pylist(), batch.column("start").to_pylist(), batch.column("part")
-        for file, start, raw in zip(names, starts, parts, strict=True):
-            data = raw.as_py()
+        for file, raw in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
+            data, rows = raw.as_py(), []
+            view = memoryview(data)
             at = data.find(MAGIC)
-            while 0 <= at < SLICE:
+            while at >= 0:
                 found = header(data, at)
                 if found:
                     fields, body = found
@@ -129,11 +128,11 @@ def _candidates(batches):
                     except ValueError:
                         page = refers = None
                     length = int(x) if re.fullmatch(r"\d{1,18}", x := fields.get("x-payload-length", "")) else size
-                    rows.append((file, start + at, start + body + size + 4, start + body, size, fields.get("warc-type", ""), page, refers, fields.get("warc-payload-digest", "").removeprefix("sha1:"), length))
+                    end = body + size
+                    own = digest(view[body:end]) if data[end : end + 4] == b"\r\n\r\n" else None
+                    rows.append((file, at, end + 4, fields.get("warc-type", ""), page, refers, fields.get("warc-payload-digest", "").removeprefix("sha1:"), length, own))
                 at = data.find(MAGIC, at + 1)
-        names = [x.split(" ")[0] for x in CANDIDATE.split(", ")]
-        kinds = [pa.string() if x.endswith("string") else pa.int64() for x in CANDIDATE.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], list(names))
 
 
 def reachable(candidates: DataFrame) -> DataFrame:
@@ -157,24 +156,11 @@ def reachable(candidates: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record that the chains reach: file, at, type, page_id, refers_to, digest (as stated), length (payload
     bytes; of a revisit, those of what it refers to), payload_digest (of the bytes read; of a revisit, as stated)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select(F.col("path").alias("file"), "content", F.col("length").alias("bytes"))
-    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(SLICE).cast("long"))
-    slices = files.select("file", "content", F.explode(starts).alias("start")).select("file", "start", F.expr(f"substring(content, cast(start + 1 as int), {SLICE + HEADER})").alias("part"))
-    found = C.saved(slices.mapInArrow(_candidates, CANDIDATE), "warc-candidates")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select(F.col("path").alias("file"), "content")
+    found = C.saved(files.mapInArrow(_candidates, CANDIDATE), "warc-candidates")
     records = found.join(reachable(found), ["file", "at"], "left_semi")
-
-    # payloads are digested from the files, in slices of records: what is read is what was written
-    def digested(batches):
-        for batch in batches:
-            sums = [digest(raw.as_py()) for raw in batch.column("part")]
-            yield pa.RecordBatch.from_pydict({"file": batch.column("file"), "at": batch.column("at"), "payload_digest": pa.array(sums, pa.string())})
-
-    bodies = records.groupBy("file").agg(F.collect_list(F.struct("at", "body", "size")).alias("r"))  # at most one file's records
-    cut = files.join(bodies, "file").select("file", "content", F.explode("r").alias("r")).select("file", "r.at", F.expr("substring(content, cast(r.body + 1 as int), cast(r.size as int))").alias("part"))
-    sums = cut.mapInArrow(digested, "file string, at long, payload_digest string")
-    revisit = F.col("type") == "revisit"
-    return records.join(sums, ["file", "at"]).select(
-        "file", "at", "type", "page_id", "refers_to", "digest", "length", F.when(revisit, F.col("digest")).otherwise(F.col("payload_digest")).alias("payload_digest")
+    return records.select(
+        "file", "at", "type", "page_id", "refers_to", "digest", "length", F.when(F.col("type") == "revisit", F.col("digest")).otherwise(F.col("payload_digest")).alias("payload_digest")
     )
 
 
