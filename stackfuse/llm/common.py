@@ -191,7 +191,15 @@ REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 def cut_out(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """rows (keyed_rows) and byte spans (d, t, start, end) to remove, many for each key: what is removed of each row, and the
     digest of what is left. A shuffle of the texts; the spans of a document come together only as intervals of its bytes."""
-    lists = spans.groupBy("d", "t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return cut_found(rows, spans.groupBy("d", "t").agg(F.collect_list(F.struct("start", "end")).alias("spans")), _intervals)
+
+
+def _intervals(raw: bytes, x: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    return united(x.field("start").to_numpy(zero_copy_only=False), x.field("end").to_numpy(zero_copy_only=False))
+
+
+def cut_found(rows: DataFrame, lists: DataFrame, find) -> DataFrame:
+    """cut_out with one list for each key (d, t, spans), of which find(text, list) makes the intervals to remove."""
 
     def work(batches):
         for batch in batches:
@@ -202,7 +210,7 @@ def cut_out(rows: DataFrame, spans: DataFrame) -> DataFrame:
                 if x is None or not len(x):
                     out.append((len(raw), 0, [], hashlib.sha256(raw).hexdigest()))
                     continue
-                a, b = united(x.field("start").to_numpy(zero_copy_only=False), x.field("end").to_numpy(zero_copy_only=False))
+                a, b = find(raw, x)
                 at, keep = 0, hashlib.sha256()
                 for s, e in zip(a.tolist(), b.tolist(), strict=True):
                     keep.update(raw[at:s])

@@ -21,7 +21,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.chunk_dedup(C.table(spark, sf_dir, "documents")).drop("removed")
+    return chunks.passage_dedup(C.table(spark, sf_dir, "documents")).drop("removed")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,6 +141,30 @@ def test_chunk_dedup_equals_brute_force(unique):
     assert got == want
 
 
+def test_planted_passages_go_from_end_to_end(spark, monkeypatch):
+    rng = random.Random(51)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(5000)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passages = [say(51) for _ in range(60)]
+    rows = [(i, f"{say(rng.randint(0, 80))}<{p}>{say(rng.randint(0, 80))}") for i, p in enumerate(passages)]
+    rows += [(100 + i, f"{say(rng.randint(0, 80))}[{p}]{say(rng.randint(0, 80))}") for i, p in enumerate(passages)]
+    rows += [rows[-1], (500, "x" * 126), (501, "x" * 126), (None, f"({passages[0]})")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(C, "table", lambda spark, sf, name: docs)
+    got = sorted((r.doc_id if r.doc_id is not None else 999, r.n_removed, r.n_spans) for r in queries.QUERIES["op3_chunk_dedup"](spark, "").collect())
+    want = [(i, 0, 0) for i in range(60)] + [(100 + i, len(p), 1) for i, p in enumerate(passages)]
+    assert got == sorted([*want, want[-1], (500, 0, 0), (501, 0, 0), (999, len(passages[0]), 1)])
+
+
+@pytest.mark.parametrize("length", [127, 128, 200])
+def test_seeds_are_in_every_passage(length):
+    rng = np.random.default_rng(length)
+    for _ in range(200):
+        p, a, b = (rng.integers(97, 123, n).astype(np.uint8) for n in (length, 90, 70))
+        alone, inside = chunks.seeds(p), chunks.seeds(np.concatenate([a, p, b])) - 90
+        assert len(alone) and set(alone) <= set(inside)
+
+
 # ---- near-duplicates
 
 
