@@ -39,11 +39,18 @@ class Rule:
     base: bool = False
 
 
+#: A private key: its header, and all up to the END line; where that is missing, header fields and base64 as far as it goes.
+PEM = (
+    r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z]+ )?PRIVATE KEY(?: BLOCK)?-----"
+    r"""|(?:\s*\n[A-Za-z-]+:[^\n]*)*(?:(?:(?:\s|\\[rn]|["',>])+[A-Za-z0-9+/=]{16,})+(?:[ \t]*(?:\r?\n|\\n)[ \t]*[A-Za-z0-9+/=]{1,15}(?![^\s\\"']))?)?)"""
+)
+
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE, 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", least=20, base=True),
     Rule("hex", r"[0-9a-f]+", least=24, base=True),
-    Rule("pem", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY(?: BLOCK)?-----"),
+    Rule("pem", PEM),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("maps", r"AIza[A-Za-z0-9_-]{35}"),
