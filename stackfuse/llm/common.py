@@ -170,8 +170,12 @@ def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows that are equal in id and text share a key: they are one document, and get the same result.
     """
     rows = doc_rows(docs, id_col, text_col).withColumn("d", F.coalesce("doc_id", F.lit(2**63 - 1)))
-    repeated = rows.groupBy("d").count().where("count > 1").limit(1).count() > 0
-    return rows.withColumn("t", F.xxhash64("text") if repeated else F.lit(0).cast("long")).select("doc_id", "d", "t", "text")
+    return rows.withColumn("t", F.xxhash64("text") if repeated(rows) else F.lit(0).cast("long")).select("doc_id", "d", "t", "text")
+
+
+def repeated(rows: DataFrame) -> bool:
+    """Whether two rows have the same d."""
+    return rows.groupBy("d").count().where("count > 1").limit(1).count() > 0
 
 
 def united(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -13,8 +13,9 @@ that no band agrees is below 1e-7). Links are confirmed on full shingle sets:
 5. The components of the confirmed links are the result.
 
 Nulls: a null text, an empty one or one without words has no shingles (n_shingles 0) and is linked with nothing; a null id
-sorts after all others. Ids should be unique: rows that share an id are separate documents with the same name. Repeated rows
-are exact copies. Empty tables give empty results. Only the id and text columns are read.
+sorts after all others. Where ids repeat, a document is named by its id and the hash of its text, in that order, in all joins
+and groups: texts that share an id (or have none) are separate documents, and only the first of a group is kept. Rows equal in
+id and text are one document, and get the same result. Empty tables give empty results. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -116,7 +117,12 @@ def _signed(rows: DataFrame, n: int, bands: int, per_band: int) -> DataFrame:
                     }
                 )
 
-    return rows.mapInArrow(work, "id long, n_shingles long, digest binary, keys array<long>")
+    return rows.mapInArrow(work, f"id {_kind(rows)}, n_shingles long, digest binary, keys array<long>")
+
+
+def _kind(rows: DataFrame) -> str:
+    """The type of ids: a number, or a number and the hash of a text."""
+    return rows.schema["id"].dataType.simpleString()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -152,7 +158,7 @@ def _blocks(percent: int):
 
     def work(key, got):
         i, j = key[1].as_py(), key[2].as_py()
-        ids, linked, block, dist = (got.column(c).to_numpy() for c in ("id", "linked", "block", "dist"))
+        linked, block, dist = (got.column(c).to_numpy() for c in ("linked", "block", "dist"))
         sets = [np.frombuffer(x, np.uint64) for x in got.column("set").to_pylist()]
         n, sizes = len(sets), np.array([len(s) for s in sets])
         owner = np.repeat(np.arange(n), sizes)
@@ -182,15 +188,19 @@ def _blocks(percent: int):
             for y in np.flatnonzero(other).tolist():
                 if (a := root(x)) != (b := root(y)):
                     parent[a] = b
-                    links.append((ids[x], ids[y]))
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+                    links.append((x, y))
+        ids = got.column("id")
+        return pa.table({"a": ids.take(pa.array([a for a, _ in links], pa.int64())), "b": ids.take(pa.array([b for _, b in links], pa.int64()))})
 
     return work
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, per_band: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest id it is linked with, directly or not), kept."""
-    rows = C.doc_rows(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text")
+def _labelled(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, bands: int = BANDS, per_band: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """Per document: id (with the hash of its text, where ids repeat), n_shingles, component (such an id)."""
+    rows = C.doc_rows(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "text")
+    many = C.repeated(rows)
+    rows = rows.select(_named("d", "text", many).alias("id"), "text")
+    kind = _kind(rows)
     signed = C.saved(_signed(rows, n, bands, per_band), "minhash")
     nodes = C.saved(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node")), "minhash-nodes")
     keyed = signed.join(nodes.select("digest", F.col("node").alias("id")), ["digest", "id"]).select("id", F.explode("keys").alias("key"))
@@ -208,7 +218,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
                 yield pa.RecordBatch.from_pydict({"id": part.column("id"), "pivot": part.column("pivot"), "set": pa.array(sets, pa.binary())})
 
     # texts and members both grow with the corpus: sorted and merged at every size
-    sets = C.saved(rows.join(inside.hint("merge"), "id").mapInArrow(full, "id long, pivot long, set binary").where("length(set) > 0"), "minhash-sets")
+    sets = rows.join(inside.hint("merge"), "id").mapInArrow(full, f"id {kind}, pivot {kind}, set binary").where("length(set) > 0")
+    sets = C.saved(sets.dropDuplicates(["id", "pivot"]) if many else sets, "minhash-sets")  # equal rows are one document
     pivots = sets.where("id = pivot").select("pivot", F.col("set").alias("own"))
 
     def compared(batches):
@@ -218,9 +229,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
             union = np.array([len(a) + len(b) for a, b in pairs], np.int64) - both
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "pivot": batch.column("pivot"), "dist": pa.array(1 - both / np.maximum(union, 1)), "linked": pa.array(100 * both >= percent * union)})
 
-    against = C.saved(sets.join(pivots, "pivot").select("id", "pivot", "own", "set").mapInArrow(compared, "id long, pivot long, dist double, linked boolean"), "minhash-pivots")
-    # an id with several texts keeps its best comparison
-    against = against.groupBy("id", "pivot").agg(F.min("dist").alias("dist"), F.max("linked").alias("linked"))
+    against = C.saved(sets.join(pivots, "pivot").select("id", "pivot", "own", "set").mapInArrow(compared, f"id {kind}, pivot {kind}, dist double, linked boolean"), "minhash-pivots")
     labels = against.select("id", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("id")).alias("label"))
     left = against.groupBy("pivot").agg(F.min(F.when(~F.col("linked"), F.col("dist"))).alias("nearest"), F.count("*").alias("size")).where("nearest IS NOT NULL")
     reach = 1 - percent / 100 + 1e-9
@@ -229,7 +238,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     doubtful = doubtful.select("id", "pivot", "dist", "linked", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("block"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
     spread = doubtful.select("id", "pivot", "dist", "linked", "block", F.explode(pairs).alias("p")).join(sets, ["id", "pivot"])
-    more = spread.select("pivot", "p.i", "p.j", "id", "dist", "linked", "block", "set").groupBy("pivot", "i", "j").applyInArrow(_blocks(percent), "a long, b long")
+    more = spread.select("pivot", "p.i", "p.j", "id", "dist", "linked", "block", "set").groupBy("pivot", "i", "j").applyInArrow(_blocks(percent), f"a {kind}, b {kind}")
     name = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"{side}_label"))
     joined = C.saved(more, "minhash-links").join(name("a"), "a").join(name("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
     merged = components(joined, "minhash-merged")
@@ -237,15 +246,27 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     final = final.select(F.col("id").alias("node"), F.coalesce("whole", "label").alias("component"))
     names = nodes.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     found = signed.select("id", "n_shingles", "digest").join(names, "digest", "left")
-    component = F.coalesce("component", "id")
+    return found.select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
+
+
+def _named(number: str, text: str, many: bool):
+    return F.struct(F.col(number).alias("d"), F.xxhash64(text).alias("t")) if many else F.col(number)
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, per_band: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the smallest id it is linked with, directly or not), kept."""
+    found = _labelled(docs, n, percent, id_col, text_col, bands, per_band, block)
+    number = lambda c: F.col(c if _kind(found) == "bigint" else f"{c}.d")
     real = lambda c: F.when(c != LAST, c)
-    return found.select(real(F.col("id")).alias("doc_id"), "n_shingles", real(component).alias("component_id"), (F.col("id") == component).alias("kept"))
+    return found.select(real(number("id")).alias("doc_id"), "n_shingles", real(number("component")).alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that are not kept; of repeated rows one stays."""
-    kept = near_duplicates(docs, n, percent, id_col, text_col).where("kept").select(F.coalesce("doc_id", F.lit(LAST)).alias("id")).distinct()
-    key = C.fresh(docs.columns, "key_of_row")
-    rows = docs.withColumn(key, F.coalesce(F.col(C.plain(id_col)).cast("long"), F.lit(LAST)))
+    found = _labelled(docs, n, percent, id_col, text_col)
+    kept = found.where("id = component").select("id").distinct()
+    key, own = C.fresh(docs.columns, "key_of_row"), C.fresh(docs.columns, "text_of_row")
+    rows = docs.withColumn(key, F.coalesce(F.col(C.plain(id_col)).cast("long"), F.lit(LAST))).withColumn(own, F.coalesce(F.col(C.plain(text_col)).cast("string"), F.lit("")))
+    rows = rows.withColumn(key, _named(key, own, _kind(found) != "bigint")).drop(own)
     stay = rows.join(kept.withColumnRenamed("id", key).hint("merge"), key, "left_semi")
     return stay.dropDuplicates([key, *[c for c in docs.columns if c.lower() in (id_col.lower(), text_col.lower())]]).drop(key)

@@ -187,6 +187,39 @@ def test_near_duplicates_equal_brute_force(unique, n, block):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [3000, 2])
+def test_texts_that_share_an_id_are_separate(spark, docs, block):
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    base, other = say(60), say(60)
+    near = lambda t, k: t + f" end{k}"
+    extra = [(300, base), (None, near(base, 1)), (None, say(60)), (None, say(40)), (None, other), (None, near(other, 1)), (None, near(other, 2))]
+    extra += [(301, near(base, 2)), (301, say(50)), (301, ""), (302, other.upper()), (303, t := say(60)), (303, near(t, 1)), (303, ""), (None, None), (301, say(30))]
+    extra += [extra[3], extra[8]]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    texts = sorted({(r.doc_id if r.doc_id is not None else minhash.LAST, r.text or "") for r in rows.collect()})
+    sets = [shingles(t, 5) for _, t in texts]
+    label = list(range(len(texts)))
+    root = lambda x: x if label[x] == x else root(label[x])
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((root(a), root(b)))
+            label[y] = x
+    groups = {}
+    for i in range(len(texts)):
+        groups.setdefault(root(i), []).append(i)
+    kept = {(r.doc_id if r.doc_id is not None else minhash.LAST, r.text or "") for r in minhash.drop_near_duplicates(rows).collect()}
+    for g in groups.values():
+        stay = [texts[i] for i in g if texts[i] in kept]
+        assert len(stay) == 1 and stay[0][0] == texts[g[0]][0]
+    least = {i: texts[g[0]][0] for g in groups.values() for i in g}
+    want = sorted({(texts[i][0], len(sets[i]), least[i]) for i in range(len(texts))})
+    found = minhash.near_duplicates(rows, block=block).collect()
+    number = lambda x: minhash.LAST if x is None else x
+    assert sorted({(number(r.doc_id), r.n_shingles, number(r.component_id)) for r in found}) == want
+    assert len(found) == rows.count()
+
+
 def test_circulant_estimates_the_similarity():
     rng = np.random.default_rng(0)
     circle = minhash.Circulant(128)
