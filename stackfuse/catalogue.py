@@ -369,6 +369,24 @@ def warp_no_fill(spark, sf_dir):
     return _warped(spark, sf_dir, False)
 
 
+def _warped_stacks(spark, sf_dir, fill):
+    """Every warp of every chain, over the whole canvas."""
+    warps = T.affine_steps(spark, sf_dir)
+    keys = ["stack_id", *FRAME]
+    raster = T.raster_grey(spark, sf_dir).join(warps.select(*keys), FRAME)
+    return _rounded(geometry.warped(raster, warps, keys, keys, SIDE, SIDE, SIDE, SIDE, fill), "v").select(*keys, "y", "x", "v")
+
+
+@query
+def warp_stacks_bilinear(spark, sf_dir):
+    return _warped_stacks(spark, sf_dir, True)
+
+
+@query
+def warp_stacks_no_fill(spark, sf_dir):
+    return _warped_stacks(spark, sf_dir, False)
+
+
 # ---- sub-stacks
 
 

@@ -246,6 +246,15 @@ tp AS (SELECT frame_idx,y,x,CAST(FLOOR(sy) AS INT)+dy AS fy,CAST(FLOOR(sx) AS IN
 SELECT tp.frame_idx,tp.y,tp.x,ROUND(SUM(w*f.v{inside}),6)+0.0 AS v FROM tp JOIN f ON f.frame_idx=tp.frame_idx AND f.y={mirror('fy', 32)} AND f.x={mirror('fx', 32)} GROUP BY ALL"""
 
 
+def warp_stacks_sql(fill: bool) -> str:
+    """All chains over the whole canvas."""
+    inside = "" if fill else " * CASE WHEN fy BETWEEN 0 AND 31 AND fx BETWEEN 0 AND 31 THEN 1 ELSE 0 END"
+    return f"""WITH {GREY}, {STEPS}, g AS (SELECT st.*,CAST(ys.y AS INT) AS y,CAST(xs.x AS INT) AS x FROM st CROSS JOIN range(32) ys(y) CROSS JOIN range(32) xs(x)),
+bk AS (SELECT stack_id,frame_idx,y,x,(a11*(x-tx)-a01*(y-ty))/(a00*a11-a01*a10) AS sx,(a00*(y-ty)-a10*(x-tx))/(a00*a11-a01*a10) AS sy FROM g),
+tp AS (SELECT stack_id,frame_idx,y,x,CAST(FLOOR(sy) AS INT)+dy AS fy,CAST(FLOOR(sx) AS INT)+dx AS fx,(1-ABS(sy-FLOOR(sy)-dy))*(1-ABS(sx-FLOOR(sx)-dx)) AS w FROM bk CROSS JOIN (VALUES (0,0),(0,1),(1,0),(1,1)) d(dy,dx))
+SELECT tp.stack_id,tp.frame_idx,tp.y,tp.x,ROUND(SUM(w*f.v{inside}),6)+0.0 AS v FROM tp JOIN f ON f.frame_idx=tp.frame_idx AND f.y={mirror('fy', 32)} AND f.x={mirror('fx', 32)} GROUP BY ALL"""
+
+
 SLABBED = f"{GREY}, sl AS (SELECT m.i AS slab_idx,f.* FROM f JOIN range(3) m(i) ON f.frame_idx>=2*m.i AND f.frame_idx<2*m.i+3)"
 SLAB_FUSED = f"{SLABBED}, {fuse_ctes('sl', 'slab_idx,frame_idx', 'slab_idx', 32, 32, 0, 'fz')}"
 LIGHT = "CASE WHEN yy>0.008856 THEN CBRT(yy)*116-16 ELSE yy*903.3 END*2.55"
@@ -320,6 +329,8 @@ SELECT g.frame_idx,ROUND(COALESCE(CASE WHEN lf>0 THEN hf/lf END,0.0),6)+0.0 AS s
     "canvas_crop": canvas_sql(True),
     "warp_bilinear": warp_sql(True),
     "warp_no_fill": warp_sql(False),
+    "warp_stacks_bilinear": warp_stacks_sql(True),
+    "warp_stacks_no_fill": warp_stacks_sql(False),
     "slab_ranges": f"""WITH RECURSIVE {STACKS}, n AS (SELECT stack_id,COUNT(DISTINCT frame_idx) AS n FROM s GROUP BY 1),
 w AS (SELECT stack_id,n,0 AS i,0 AS a,LEAST(10,n) AS b FROM n UNION ALL SELECT stack_id,n,i+1,a+7,LEAST(a+17,n) FROM w WHERE b<n)
 SELECT stack_id,1 AS layer,i AS slab_idx,a AS start_idx,CAST(b AS INT) AS end_idx,printf('slab_1_%03d',i) AS label FROM w""",

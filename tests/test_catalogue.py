@@ -38,3 +38,10 @@ def test_query(spark, sql, name):
             assert abs(got[c] - want[c]).max() <= 1e-5, c
         else:
             assert (got[c] == want[c]).all(), c
+
+
+@pytest.mark.parametrize("name", ["warp_stacks_bilinear", "warp_stacks_no_fill"])
+def test_every_warp_meets_the_whole_canvas(spark, name):
+    got = catalogue.QUERIES[name](spark, SF).toPandas()
+    assert len(got) == len(got.drop_duplicates(["stack_id", "frame_idx", "y", "x"])) == 25 * 32 * 32
+    assert got.groupby(["stack_id", "frame_idx"]).ngroups == 25 and got.y.max() == got.x.max() == 31
