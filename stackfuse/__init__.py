@@ -1,5 +1,6 @@
 """Stack fusion on Spark: focus-bracketed images as relations and as frames."""
 
+from .demo import stack, stack_streaming
 from .functions.kernels import expand, reduce, region_deviation, region_energy, region_entropy
 from .operators.fusion import level_count
 from .plans.run import (
@@ -47,5 +48,7 @@ __all__ = [
     "resolve_images",
     "run",
     "slab_images",
+    "stack",
     "stack_images",
+    "stack_streaming",
 ]

@@ -190,6 +190,13 @@ def tenengrad_score(spark, sf_dir):
     return _rounded(focus.tenengrad(T.raster_grey(spark, sf_dir), FRAME), "e").select("frame_idx", "y", "x", "e")
 
 
+@query
+def tenengrad_equalised(spark, sf_dir):
+    """The score map as scoring makes it: of the equalised image."""
+    even = focus.equalised(T.raster_grey(spark, sf_dir), FRAME, SIDE, SIDE, 2)
+    return _rounded(focus.tenengrad(even, FRAME), "e").select("frame_idx", "y", "x", "e")
+
+
 def _scores(spark, sf_dir):
     return focus.high_low_ratio(focus.tenengrad(T.raster_grey(spark, sf_dir), FRAME), FRAME)
 
@@ -354,22 +361,6 @@ def canvas_crop(spark, sf_dir):
 
 
 def _warped(spark, sf_dir, fill):
-    raster = T.raster_grey(spark, sf_dir).where("frame_idx < 5")
-    warps = T.affine_steps(spark, sf_dir).where("stack_id = 1").drop("stack_id")
-    return _rounded(geometry.warped(raster, warps, FRAME, FRAME, SIDE, SIDE, 20, 24, fill), "v").select("frame_idx", "y", "x", "v")
-
-
-@query
-def warp_bilinear(spark, sf_dir):
-    return _warped(spark, sf_dir, True)
-
-
-@query
-def warp_no_fill(spark, sf_dir):
-    return _warped(spark, sf_dir, False)
-
-
-def _warped_stacks(spark, sf_dir, fill):
     """Every warp of every chain, over the whole canvas."""
     warps = T.affine_steps(spark, sf_dir)
     keys = ["stack_id", *FRAME]
@@ -378,13 +369,13 @@ def _warped_stacks(spark, sf_dir, fill):
 
 
 @query
-def warp_stacks_bilinear(spark, sf_dir):
-    return _warped_stacks(spark, sf_dir, True)
+def warp_bilinear(spark, sf_dir):
+    return _warped(spark, sf_dir, True)
 
 
 @query
-def warp_stacks_no_fill(spark, sf_dir):
-    return _warped_stacks(spark, sf_dir, False)
+def warp_no_fill(spark, sf_dir):
+    return _warped(spark, sf_dir, False)
 
 
 # ---- sub-stacks
@@ -438,10 +429,18 @@ def stream_state_sum(spark, sf_dir):
 
 @query
 def stream_frames(spark, sf_dir):
-    """Frames of ten stacks pushed through the stateful fusion, to the end of the stream."""
+    """Ten stacks through the stateful fusion, to the end of the stream: frames, and the mean of the fused image."""
+    from .streaming import incremental
+
+    return _rounded(incremental.stack_state(spark, sf_dir), "mean", digits=4)
+
+
+@query
+def stream_fuse(spark, sf_dir):
+    """The same stacks' images at the stream's end: those of fuse_stacks, from running sums."""
     from .streaming import incremental
 
-    return _rounded(incremental.stack_state(spark, sf_dir), "mean", digits=5)
+    return _rounded(incremental.stack_fused(spark, sf_dir), "v", digits=5)
 
 
 # ---- blocks: arrays instead of pixel rows

@@ -10,7 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from .plans.run import FocusStackConfig, Interrupted, run
+from . import demo
+from .plans.run import FocusStackConfig, Interrupted, resolve_images, run
 from .sources import images as I
 from .sources.tables import EXTENSIONS
 
@@ -28,6 +29,7 @@ FLAGS = (
     ("--output-steps", "save the fused sub-stacks too"),
     ("--only-slab", "stop after the sub-stacks"),
     ("--recursive-slab", "sub-stacks of sub-stacks"),
+    ("--streaming", "push the images one at a time, as they would be taken"),
     ("--version", "show the version"),
     ("--formats", "list the image formats"),
 )
@@ -46,6 +48,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--workers", type=int, default=3, help="parallel tasks; 0: all cores")
     p.add_argument("--slab", type=int, nargs=2, metavar=("SIZE", "OVERLAP"))
     p.add_argument("--slab-format", default=None, metavar="EXT")
+    p.add_argument("--preview-dir", type=Path, metavar="DIR", help="with --streaming: save a preview after each image")
+    p.add_argument("--preview-scale", type=float, default=0.25, metavar="SCALE", help="the previews' size as a part of the images'")
     for flag, text in FLAGS:
         p.add_argument(flag, action="store_true", help=text)
     return p
@@ -58,6 +62,18 @@ def version() -> str:
         return "unknown"
 
 
+def _streamed(args: argparse.Namespace, output: Path, slab: tuple[int, int] | None, spark: SparkSession) -> int:
+    """The folder's images, one after another; each comes to the driver as a camera would hand it over."""
+    frames, size = resolve_images(spark, args.folder)
+    images = (I.array(r) for r in frames.orderBy("frame_idx").toLocalIterator())
+    preview = demo.preview_saver(args.preview_dir, args.quality, spark) if args.preview_dir else None
+    names = ("no_rotation", "no_scale", "no_shear", "no_translation", "full_res", "min_shift", "levels", "sharpness", "no_fill")
+    demo.stack_streaming(
+        images, output, size, args.workers, args.quality, args.reference, args.cull, args.keep_size, slab, args.output_steps, args.only_slab, args.recursive_slab, args.slab_format, preview, args.preview_scale, spark, **{n: getattr(args, n) for n in names}
+    )
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     p = parser()
     args = p.parse_args(argv)
@@ -65,19 +81,17 @@ def main(argv: list[str] | None = None) -> int:
         print(f"stackfuse {version()}")
         return 0
     if args.formats:
-        print("Supported image extensions:\n  " + "  ".join(sorted(EXTENSIONS)))
+        print("Files are taken by these endings, in either case: " + " ".join(sorted(EXTENSIONS)))
         return 0
     if args.folder is None:
         p.error("a folder is needed")
     if not args.folder.is_dir():
-        print(f"Error: {args.folder} is not a directory.", file=sys.stderr)
+        print(f"there is no folder {args.folder}", file=sys.stderr)
         return 1
     spark = SparkSession.builder.master(f"local[{args.workers or '*'}]").appName("stackfuse").config("spark.sql.execution.arrow.maxRecordsPerBatch", "4").getOrCreate()
-    output = args.output or args.folder / "stacked.jpg"
-    steps = output.parent / "stackfuse_slabs"
-
-    def on_slab(label, image):
-        I.write(image, steps / f"{label}.{(args.slab_format or 'tiff').lstrip('.')}", args.quality, spark)
+    output = args.output or args.folder / ("stacked_streaming.jpg" if args.streaming else "stacked.jpg")
+    on_slab = demo.slab_saver(output, args.slab_format, args.quality, spark) if args.output_steps or args.only_slab else None
+    slab = tuple(args.slab) if args.slab else None
 
     def progress(fraction, stage, message):
         if message:
@@ -86,7 +100,9 @@ def main(argv: list[str] | None = None) -> int:
     began = time.time()
     names = ("no_align", "keep_size", "crop", "no_fill", "reference", "cull", "global_align", "no_rotation", "no_scale", "no_shear", "no_translation", "full_res", "min_shift", "levels", "sharpness", "workers", "only_slab", "recursive_slab")
     try:
-        done = run(FocusStackConfig(args.folder, slab=tuple(args.slab) if args.slab else None, on_slab=on_slab if args.output_steps or args.only_slab else None, **{n: getattr(args, n) for n in names}), progress, spark)
+        if args.streaming:
+            return _streamed(args, output, slab, spark)
+        done = run(FocusStackConfig(args.folder, slab=slab, on_slab=on_slab, **{n: getattr(args, n) for n in names}), progress, spark)
         if done.image is not None:
             I.write(done.image, output, args.quality, spark)
             print(f"Saved {output} in {time.time() - began:.1f} s")

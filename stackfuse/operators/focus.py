@@ -48,8 +48,8 @@ def equalised(df: DataFrame, keys: Sequence[str], height: int, width: int, tiles
 
 def high_low_ratio(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Of score maps `e`: fine against coarse energy where there is any, as `score`; 0 for an empty map."""
-    image = Window.partitionBy(*keys)
-    norm = df.select(*keys, "y", "x", (F.col("e") / (F.max("e").over(image) + 1e-8)).alias("v"), (F.col("e") / (F.max("e").over(image) + 1e-8)).alias("low"))
+    peak = df.groupBy(*keys).agg(F.max("e").alias("peak"))  # a row per image
+    norm = df.join(peak, list(keys)).select(*keys, "y", "x", (F.col("e") / (F.col("peak") + 1e-8)).alias("v")).withColumn("low", F.col("v"))
     both = S.blur(norm, keys, 31, "low")
     here = F.col("v") > 0.01
     hf = F.avg(F.when(here, (F.col("v") - F.col("low")) * (F.col("v") - F.col("low"))))
@@ -84,7 +84,6 @@ def focus_mask(df: DataFrame, keys: Sequence[str], percentile: float = 0.3) -> D
 def combined_masks(a: DataFrame, b: DataFrame, keys: Sequence[str], least: int = 100) -> DataFrame:
     """Per pair the pixels in both masks; where those are under least, the pixels in either; where those are too, all."""
     both = a.withColumnRenamed("mask", "m").join(b.withColumnRenamed("mask", "k"), [*keys, "y", "x"])
-    image = Window.partitionBy(*keys)
-    n_and = F.sum(F.col("m").bitwiseAND(F.col("k"))).over(image)
-    n_or = F.sum(F.col("m").bitwiseOR(F.col("k"))).over(image)
-    return both.select(*keys, "y", "x", F.when(n_and >= least, F.col("m").bitwiseAND(F.col("k"))).when(n_or >= least, F.col("m").bitwiseOR(F.col("k"))).otherwise(1).alias("mask"))
+    every, either = F.col("m").bitwiseAND(F.col("k")), F.col("m").bitwiseOR(F.col("k"))
+    counts = both.groupBy(*keys).agg(F.sum(every).alias("n_and"), F.sum(either).alias("n_or"))  # a row per pair
+    return both.join(counts, list(keys)).select(*keys, "y", "x", F.when(F.col("n_and") >= least, every).when(F.col("n_or") >= least, either).otherwise(1).alias("mask"))

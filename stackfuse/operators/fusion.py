@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixels as P
@@ -61,17 +61,18 @@ def region_energy(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def region_deviation(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The standard deviation over 3 x 3 pixels, as `d`."""
     both = df.select(*keys, "y", "x", F.col("v").alias("m"), (F.col("v") * F.col("v")).alias("q"))
-    both = S.box(S.box(both, keys, 3, "m"), keys, 3, "q")
+    for axis in ("x", "y"):  # both values in one pass over the lines of each axis
+        for value in ("m", "q"):
+            both = S.filtered(both, keys, axis, [1 / 3] * 3, first=-1, value=value)
     return both.select(*keys, "y", "x", F.sqrt(F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0))).alias("d"))
 
 
 def region_entropy(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The mean over 8 x 8 pixels of the binary entropy of values scaled to 0..1 over the image, as `h`."""
-    image = Window.partitionBy(*keys)
-    lo, hi = F.min("v").over(image), F.max("v").over(image)
+    ends = df.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))  # a row per image
     eps = 1e-10
     p = F.col("p")
-    scaled = df.select(*keys, "y", "x", ((F.col("v") - lo) / (hi - lo + eps)).alias("p"))
+    scaled = df.join(ends, list(keys)).select(*keys, "y", "x", ((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo") + eps)).alias("p"))
     raw = scaled.withColumn("h", 0.0 - p * F.log2(p + eps) - (1 - p) * F.log2(1 - p + eps)).drop("p")
     return S.box(raw, keys, 8, "h")
 

@@ -185,7 +185,7 @@ def slabs(counts: DataFrame, stack: Sequence[str], size: int, overlap: int, laye
     last = F.greatest(F.ceil((F.col("n") - size) / step), F.lit(0)).cast("int")
     every = counts.where("n > 0").select(*stack, "n", F.explode(F.sequence(F.lit(0), last)).alias("slab_idx"))
     start = F.col("slab_idx") * step
-    return every.select(*stack, F.lit(layer).alias("layer"), "slab_idx", start.alias("start_idx"), F.least(start + size, F.col("n")).cast("int").alias("end_idx"), F.format_string(f"slab_{layer}_%03d", "slab_idx").alias("label"))
+    return every.select(*stack, F.lit(layer).alias("layer"), "slab_idx", start.alias("start_idx"), F.least(start + size, F.col("n")).cast("int").alias("end_idx"), F.format_string(f"slab_{layer}_%03d", F.col("slab_idx") + 1).alias("label"))
 
 
 def members(ranges: DataFrame, stack: Sequence[str]) -> DataFrame:

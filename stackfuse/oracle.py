@@ -239,14 +239,6 @@ SELECT stack_id,CAST(GREATEST(CEIL(({x1})-({x0})),1) AS INT) AS width,CAST(GREAT
 
 
 def warp_sql(fill: bool) -> str:
-    inside = "" if fill else " * CASE WHEN fy BETWEEN 0 AND 31 AND fx BETWEEN 0 AND 31 THEN 1 ELSE 0 END"
-    return f"""WITH {GREY}, {STEPS}, g AS (SELECT st.*,CAST(ys.y AS INT) AS y,CAST(xs.x AS INT) AS x FROM st CROSS JOIN range(20) ys(y) CROSS JOIN range(24) xs(x) WHERE stack_id=1),
-bk AS (SELECT frame_idx,y,x,(a11*(x-tx)-a01*(y-ty))/(a00*a11-a01*a10) AS sx,(a00*(y-ty)-a10*(x-tx))/(a00*a11-a01*a10) AS sy FROM g),
-tp AS (SELECT frame_idx,y,x,CAST(FLOOR(sy) AS INT)+dy AS fy,CAST(FLOOR(sx) AS INT)+dx AS fx,(1-ABS(sy-FLOOR(sy)-dy))*(1-ABS(sx-FLOOR(sx)-dx)) AS w FROM bk CROSS JOIN (VALUES (0,0),(0,1),(1,0),(1,1)) d(dy,dx))
-SELECT tp.frame_idx,tp.y,tp.x,ROUND(SUM(w*f.v{inside}),6)+0.0 AS v FROM tp JOIN f ON f.frame_idx=tp.frame_idx AND f.y={mirror('fy', 32)} AND f.x={mirror('fx', 32)} GROUP BY ALL"""
-
-
-def warp_stacks_sql(fill: bool) -> str:
     """All chains over the whole canvas."""
     inside = "" if fill else " * CASE WHEN fy BETWEEN 0 AND 31 AND fx BETWEEN 0 AND 31 THEN 1 ELSE 0 END"
     return f"""WITH {GREY}, {STEPS}, g AS (SELECT st.*,CAST(ys.y AS INT) AS y,CAST(xs.x AS INT) AS x FROM st CROSS JOIN range(32) ys(y) CROSS JOIN range(32) xs(x)),
@@ -266,6 +258,11 @@ NORM = "nm AS (SELECT frame_idx,y,x,e/(MAX(e) OVER (PARTITION BY frame_idx)+1e-8
 RUN = "OVER (PARTITION BY y,x ORDER BY frame_idx)"
 FUSE_STACK = f"WITH {GREY}, {fuse_ctes('f', 'frame_idx', '', 32, 32, 1, 'fz')} SELECT y,x,ROUND(v,5)+0.0 AS v FROM fz"
 
+EVEN = f"""{TILES}, pos AS (SELECT *,y/16.0::DOUBLE-0.5 AS gy,x/16.0::DOUBLE-0.5 AS gx FROM f),
+tp AS (SELECT frame_idx,y,x,CAST(v AS INT) AS v,LEAST(GREATEST(CAST(FLOOR(gy) AS INT)+dy,0),1) AS ty,LEAST(GREATEST(CAST(FLOOR(gx) AS INT)+dx,0),1) AS tx,(1-ABS(gy-FLOOR(gy)-dy))*(1-ABS(gx-FLOOR(gx)-dx)) AS w FROM pos CROSS JOIN (VALUES (0,0),(0,1),(1,0),(1,1)) d(dy,dx)),
+ev AS (SELECT tp.frame_idx,tp.y,tp.x,CAST(FLOOR(SUM(w*lut)+0.5) AS DOUBLE) AS v FROM tp JOIN lut USING (frame_idx,ty,tx,v) GROUP BY ALL)"""
+EVEN_TENENGRAD = f"{EVEN}, u AS (SELECT frame_idx,y,x,v/255.0::DOUBLE AS v FROM ev), {sobel_ctes('u', 'te')}"
+
 ORACLE_SQL: dict[str, str] = {
     "frames_ordered": f"WITH {FILES} SELECT CAST(row_number() OVER (ORDER BY path)-1 AS INT) AS frame_idx,path FROM img WHERE {SUPPORTED}",
     "ext_filter": f"WITH {FILES} SELECT ext,COUNT(*) AS n FROM img WHERE {SUPPORTED} GROUP BY 1",
@@ -291,15 +288,14 @@ FROM f JOIN ty ON f.y+1>ty.i*32/13.0::DOUBLE AND f.y<(ty.i+1)*32/13.0::DOUBLE JO
     "dilate7": f"WITH {GREY} SELECT frame_idx,y,x,v FROM {dilate_sql('f')}",
     "clahe_tile_hist": f"WITH {TILES} SELECT frame_idx,ty,tx,v,n FROM hist",
     "clahe_lut": f"WITH {TILES} SELECT frame_idx,ty,tx,v,lut FROM lut",
-    "clahe_equalise": f"""WITH {TILES}, pos AS (SELECT *,y/16.0::DOUBLE-0.5 AS gy,x/16.0::DOUBLE-0.5 AS gx FROM f),
-tp AS (SELECT frame_idx,y,x,CAST(v AS INT) AS v,LEAST(GREATEST(CAST(FLOOR(gy) AS INT)+dy,0),1) AS ty,LEAST(GREATEST(CAST(FLOOR(gx) AS INT)+dx,0),1) AS tx,(1-ABS(gy-FLOOR(gy)-dy))*(1-ABS(gx-FLOOR(gx)-dx)) AS w FROM pos CROSS JOIN (VALUES (0,0),(0,1),(1,0),(1,1)) d(dy,dx))
-SELECT tp.frame_idx,tp.y,tp.x,CAST(FLOOR(SUM(w*lut)+0.5) AS DOUBLE) AS v FROM tp JOIN lut USING (frame_idx,ty,tx,v) GROUP BY ALL""",
+    "clahe_equalise": f"WITH {EVEN} SELECT frame_idx,y,x,v FROM ev",
     "focus_mask_p30": f"WITH {GREY}, {MASK} SELECT frame_idx,y,x,mask FROM mask",
     "mask_population": f"WITH {GREY}, {MASK} SELECT frame_idx,CAST(SUM(mask) AS BIGINT) AS n FROM mask GROUP BY 1",
     "mask_intersection": f"""WITH {GREY}, a AS (SELECT frame_idx,y,x,CASE WHEN v>=140 THEN 1 ELSE 0 END AS m FROM f), b AS (SELECT frame_idx+1 AS frame_idx,y,x,CASE WHEN v>=20*frame_idx+60 THEN 1 ELSE 0 END AS k FROM f),
 j AS (SELECT a.*,k FROM a JOIN b USING (frame_idx,y,x)), n AS (SELECT frame_idx,SUM(m&k) AS na,SUM(m|k) AS no FROM j GROUP BY 1)
 SELECT j.frame_idx,y,x,CASE WHEN na>=350 THEN m&k WHEN no>=350 THEN m|k ELSE 1 END AS mask FROM j JOIN n ON j.frame_idx=n.frame_idx""",
     "tenengrad_score": f"WITH {TENENGRAD} SELECT frame_idx,y,x,{r(['e'])} FROM te",
+    "tenengrad_equalised": f"WITH {EVEN_TENENGRAD} SELECT frame_idx,y,x,{r(['e'])} FROM te",
     "hf_lf_ratio": f"""WITH {TENENGRAD}, {NORM}, bl AS {blur_sql('nm', 'frame_idx', 32, 31)},
 m AS (SELECT frame_idx,AVG((nm.v-bl.v)*(nm.v-bl.v)) AS hf,AVG(bl.v*bl.v) AS lf FROM nm JOIN bl USING (frame_idx,y,x) WHERE nm.v>0.01 GROUP BY 1)
 SELECT g.frame_idx,ROUND(COALESCE(CASE WHEN lf>0 THEN hf/lf END,0.0),6)+0.0 AS score FROM (SELECT DISTINCT frame_idx FROM nm) g LEFT JOIN m ON g.frame_idx=m.frame_idx""",
@@ -329,16 +325,20 @@ SELECT g.frame_idx,ROUND(COALESCE(CASE WHEN lf>0 THEN hf/lf END,0.0),6)+0.0 AS s
     "canvas_crop": canvas_sql(True),
     "warp_bilinear": warp_sql(True),
     "warp_no_fill": warp_sql(False),
-    "warp_stacks_bilinear": warp_stacks_sql(True),
-    "warp_stacks_no_fill": warp_stacks_sql(False),
     "slab_ranges": f"""WITH RECURSIVE {STACKS}, n AS (SELECT stack_id,COUNT(DISTINCT frame_idx) AS n FROM s GROUP BY 1),
 w AS (SELECT stack_id,n,0 AS i,0 AS a,LEAST(10,n) AS b FROM n UNION ALL SELECT stack_id,n,i+1,a+7,LEAST(a+17,n) FROM w WHERE b<n)
-SELECT stack_id,1 AS layer,i AS slab_idx,a AS start_idx,CAST(b AS INT) AS end_idx,printf('slab_1_%03d',i) AS label FROM w""",
+SELECT stack_id,1 AS layer,i AS slab_idx,a AS start_idx,CAST(b AS INT) AS end_idx,printf('slab_1_%03d',i+1) AS label FROM w""",
     "slab_fuse": f"WITH {SLAB_FUSED} SELECT CAST(slab_idx AS INT) AS slab_idx,y,x,{r(['v'], 5)} FROM fz",
     "slab_recursive": f"""WITH {SLAB_FUSED}, again AS (SELECT slab_idx AS frame_idx,y,x,FLOOR(LEAST(GREATEST(ROUND(v,5),0.0),255.0)) AS v FROM fz),
 {fuse_ctes('again', 'frame_idx', '', 32, 32, 0, 'gz')} SELECT y,x,{r(['v'], 5)} FROM gz""",
     "preview_running": f"""WITH {GREY}, j AS (SELECT f.*,e FROM f JOIN {energy_sql('f', 'frame_idx', 32, 32)} g USING (frame_idx,y,x))
 SELECT frame_idx,y,x,ROUND(SUM(e) {RUN},3)+0.0 AS se,ROUND(SUM(e*v) {RUN},3)+0.0 AS sex,ROUND(SUM(v) {RUN},3)+0.0 AS sx,COUNT(*) {RUN} AS n FROM j""",
     "stream_state_sum": "SELECT event_type AS stack_id,CAST(EXTRACT(DAY FROM ts) AS INT)-1 AS frame_idx,CAST(user_id%8 AS INT) AS y,CAST(EXTRACT(HOUR FROM ts) AS INT) AS x,COUNT(*) AS v FROM events GROUP BY 1,2,3,4",
-    "stream_frames": f"WITH {STACKS}, a AS (SELECT stack_id,COUNT(*)//64 AS n,AVG(v) AS mean FROM s GROUP BY 1) SELECT stack_id,n,ROUND(mean,5)+0.0 AS mean FROM a",
+    "stream_frames": f"""WITH {STACKS}, {fuse_ctes('s', 'stack_id,frame_idx', 'stack_id', 8, 8, 0, 'fz')}, a AS (SELECT stack_id,COUNT(DISTINCT frame_idx) AS n FROM s GROUP BY 1)
+SELECT stack_id,n,ROUND(AVG(ROUND(v,9)),4)+0.0 AS mean FROM fz JOIN a USING (stack_id) GROUP BY 1,2""",
+    "stream_fuse": f"WITH {STACKS}, {fuse_ctes('s', 'stack_id,frame_idx', 'stack_id', 8, 8, 0, 'fz')} SELECT stack_id,y,x,{r(['v'], 5)} FROM fz",
+    # what was put in must be found
+    "phase_shift": """SELECT CAST(n_nationkey AS INT) AS "case", CAST(n_nationkey%7-3 AS INT) AS dx, CAST(n_nationkey*3%11-5 AS INT) AS dy,
+ CAST(n_nationkey%7-3 AS INT) AS found_x, CAST(n_nationkey*3%11-5 AS INT) AS found_y FROM nation""",
+    "ecc_affine": f"WITH {STEPS} SELECT stack_id, frame_idx, true AS found FROM st",
 }

@@ -75,6 +75,10 @@ def pair_warps(frames: DataFrame, pairs: DataFrame, height: int, width: int, ful
     return both.select("stack_id", "frame_idx", "neighbour_idx", "grey", "other").mapInArrow(work, WARPS)
 
 
+#: Groups of tasks whose sums are merged first.
+FAN = 16
+
+
 def _rows(acc: dict) -> pa.RecordBatch:
     """The sums of a task as blocks of rows."""
     rows = []
@@ -137,7 +141,9 @@ def _merged(table: pa.Table) -> pa.Table:
 
 
 def merged(sums: DataFrame) -> DataFrame:
-    return sums.groupBy("stack_id", "level", "block").applyInArrow(_merged, SUMS)
+    """Sums of all tasks by place, in two steps: first those of some tasks, so that no group holds what every task has made."""
+    some = sums.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(FAN))).groupBy("stack_id", "level", "block", "part").applyInArrow(lambda t: _merged(t.drop_columns(["part"])), SUMS)
+    return some.groupBy("stack_id", "level", "block").applyInArrow(_merged, SUMS)
 
 
 def _finished(depth: int | None):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..operators import focus, fusion, geometry
+from ..session import Interrupted, interruptible, kept
 from ..sources import images as I
 from . import blocks as B
 
@@ -22,10 +23,6 @@ SlabCallback = Callable[[str, np.ndarray], None]
 InterruptCallback = Callable[[], bool]
 
 
-class Interrupted(Exception):
-    """The interrupt callback asked to stop."""
-
-
 @dataclass
 class CullEntry:
     path: str | int
@@ -92,26 +89,27 @@ class FocusStackConfig:
 
 def check_slab(size: int, overlap: int) -> None:
     if size < 2:
-        raise ValueError("Slab SIZE must be at least 2.")
+        raise ValueError("a slab takes two images or more")
     if not 0 <= overlap < size:
-        raise ValueError(f"Slab OVERLAP must be >= 0 and < SIZE ({size}).")
+        raise ValueError(f"slabs of {size} images can't share {overlap} of them")
 
 
 def resolve_images(spark: SparkSession, images) -> tuple[DataFrame, tuple[int, int]]:
-    """Frames, and the (width, height) of the first."""
-    if isinstance(images, DataFrame):
-        frames = images
-    elif isinstance(images, (str, Path)):
-        frames = I.from_files(spark, str(images))
-    else:
-        images = list(images)
+    """Frames, and the (width, height) of the first. Of files, only the first two headers are looked at."""
+    if isinstance(images, (str, Path)) or not isinstance(images, DataFrame) and len(images := list(images)) >= 2 and not isinstance(images[0], np.ndarray):
+        source = str(images) if isinstance(images, (str, Path)) else [str(p) for p in images]
+        found = I.probe(spark, source)
+        if len(found) < 2:
+            raise ValueError(f"two images or more are needed; there are {len(found)}")
+        return I.from_files(spark, source), found[0][:2]
+    if not isinstance(images, DataFrame):
         if len(images) < 2:
-            raise ValueError(f"Need at least 2 images, got {len(images)}.")
-        frames = I.from_arrays(spark, images) if isinstance(images[0], np.ndarray) else I.from_files(spark, [str(p) for p in images])
-    found = frames.select("frame_idx", "width", "height").orderBy("frame_idx").limit(2).collect()
+            raise ValueError(f"two images or more are needed; there are {len(images)}")
+        return I.from_arrays(spark, images), (images[0].shape[1], images[0].shape[0])
+    found = images.select("frame_idx", "width", "height").orderBy("frame_idx").limit(2).collect()
     if len(found) < 2:
-        raise ValueError(f"Need at least 2 images, got {len(found)}.")
-    return frames, (found[0]["width"], found[0]["height"])
+        raise ValueError(f"two images or more are needed; there are {len(found)}")
+    return images, (found[0]["width"], found[0]["height"])
 
 
 load_images = resolve_images
@@ -133,8 +131,8 @@ def cull_unfocused_images(frames: DataFrame, reference_size: tuple[int, int], th
 
 
 def _renumbered(frames: DataFrame, numbers: dict[int, int]) -> DataFrame:
-    table = F.create_map(*(F.lit(v) for kv in numbers.items() for v in kv))
-    return frames.where(F.col("frame_idx").isin(list(numbers))).withColumn("frame_idx", table[F.col("frame_idx")])
+    table = frames.sparkSession.createDataFrame(sorted(numbers.items()), "frame_idx int, number int")
+    return frames.join(table, "frame_idx").withColumn("frame_idx", F.col("number")).select(frames.columns)
 
 
 def _shifted(cfg, spark, steps: dict[int, tuple[np.ndarray, bool]], n: int, reference: int, whole_path: bool = True) -> list[np.ndarray]:
@@ -177,16 +175,21 @@ def compute_canvas(warps: Sequence[np.ndarray], src_size: tuple[int, int], keep_
     return (w, h), moved
 
 
-def stack_images(frames: DataFrame, warps: Sequence[np.ndarray] | None, levels: int, sharpness: float, canvas_size: tuple[int, int], no_fill: bool = False, fit: str = "stretch", depth: int | None = None) -> dict[str, np.ndarray]:
-    """The fused image of each stack in frames. warps: by frame_idx."""
+def fused_frames(frames: DataFrame, warps: Sequence[np.ndarray] | None, levels: int, sharpness: float, canvas_size: tuple[int, int], no_fill: bool = False, fit: str = "stretch", depth: int | None = None) -> DataFrame:
+    """A row with the fused image for each stack in frames. warps: by frame_idx."""
     width, height = canvas_size
     if warps is not None and any(not np.array_equal(m, np.eye(2, 3)) for m in warps):
-        table = F.create_map(*(x for i, m in enumerate(warps) for x in (F.lit(i), F.array(*(F.lit(float(v)) for v in np.asarray(m).ravel())))))
-        frames = frames.withColumn("w", table[F.col("frame_idx")])
+        table = frames.sparkSession.createDataFrame([(i, np.asarray(m, float).ravel().tolist()) for i, m in enumerate(warps)], "frame_idx int, w array<double>")
+        frames = frames.join(table, "frame_idx", "left")
     if depth is None:
-        depth = frames.orderBy("frame_idx").select("depth").first()[0]
+        depth = I.first_depth(frames)
     levels = levels or fusion.level_count(height, width)
-    done = B.images(B.frame_sums(frames, height, width, levels, sharpness, not no_fill, fit), depth)
+    return B.images(B.frame_sums(frames, height, width, levels, sharpness, not no_fill, fit), depth)
+
+
+def stack_images(frames: DataFrame, warps: Sequence[np.ndarray] | None, levels: int, sharpness: float, canvas_size: tuple[int, int], no_fill: bool = False, fit: str = "stretch", depth: int | None = None) -> dict[str, np.ndarray]:
+    """The fused image of each stack in frames, on the driver. warps: by frame_idx."""
+    done = fused_frames(frames, warps, levels, sharpness, canvas_size, no_fill, fit, depth)
     return {r["stack_id"]: I.array(r) for r in done.toLocalIterator()}  # an image per stack, one at a time
 
 
@@ -203,26 +206,34 @@ def slab_ranges(n: int, size: int, overlap: int) -> list[tuple[int, int]]:
 def slab_images(frames: DataFrame, n: int, warps: Sequence[np.ndarray] | None, size: int, overlap: int, levels: int, sharpness: float, canvas_size: tuple[int, int], no_fill: bool = False, only_slab: bool = False, recursive: bool = False, on_slab=None, interrupt=None, progress=None, fit: str = "stretch"):
     """Sub-stacks of a layer are fused in one job; layers follow each other. A list with only_slab, else an image."""
     spark = frames.sparkSession
-    depth, layer = frames.orderBy("frame_idx").select("depth").first()[0], 1
+    depth, layer = I.first_depth(frames), 1
     while True:
         ranges = slab_ranges(n, size, overlap)
-        owner = F.array(*(F.when((F.col("frame_idx") >= a) & (F.col("frame_idx") < b), F.lit(f"slab_{layer}_{k:03d}")) for k, (a, b) in enumerate(ranges)))
-        spread = frames.withColumn("stack_id", F.explode(F.array_compact(owner)))
-        done = stack_images(spread, warps, levels, sharpness, canvas_size, no_fill, fit, depth)
-        slabs = []
-        for k, label in enumerate(sorted(done)):
-            slabs.append(done[label])
-            if on_slab:
-                on_slab(label, done[label])
-            if progress:
-                progress((k + 1) / len(done), "slabbing", f"Layer {layer}: slab {k + 1} of {len(done)}")
-            if interrupt and interrupt():
-                raise Interrupted
+        rows = [(k, f"slab_{layer}_{k + 1:03d}", a, b) for k, (a, b) in enumerate(ranges)]
+        table = spark.createDataFrame(rows, "slab int, label string, a int, b int")
+        owner = table.select("label", F.explode(F.sequence("a", F.col("b") - 1)).alias("frame_idx"))  # equi-join of frames and slabs
+        spread = frames.join(owner, "frame_idx").withColumn("stack_id", F.col("label")).drop("label")
+        # a layer is fused in one job, and stays in the shared folder; images come to the driver one at a time where asked for
+        done = kept(fused_frames(spread, warps, levels, sharpness, canvas_size, no_fill, fit, depth), "slabs").join(table.select(F.col("label").alias("stack_id"), "slab"), "stack_id")
+        images = []
+        if on_slab or only_slab or len(ranges) == 1:
+            for r in done.orderBy("slab").toLocalIterator():
+                image = I.array(r)
+                if only_slab or len(ranges) == 1:
+                    images.append(image)
+                if on_slab:
+                    on_slab(r["stack_id"], image)
+                if interrupt and interrupt():
+                    raise Interrupted
+        if progress:
+            for k in range(len(ranges)):
+                progress((k + 1) / len(ranges), "slabbing", f"Layer {layer}: slab {k + 1} of {len(ranges)}")
         if only_slab:
-            return slabs
-        if len(slabs) == 1:
-            return slabs[0]
-        frames, n, warps, layer = I.from_arrays(spark, slabs), len(slabs), None, layer + 1
+            return images
+        if len(ranges) == 1:
+            return images[0]
+        frames = done.select(F.lit("stack").alias("stack_id"), F.col("slab").alias("frame_idx"), F.lit(None).cast("string").alias("origin"), "width", "height", "n_channels", "depth", "data")
+        n, warps, layer = len(ranges), None, layer + 1
         if n <= size or not recursive:
             return next(iter(stack_images(frames, None, levels, sharpness, canvas_size, no_fill, fit, depth).values()))
 
@@ -231,37 +242,34 @@ def pick_reference(reference: int, n: int) -> int:
     if reference < 0:
         return n // 2
     if reference >= n:
-        raise ValueError(f"reference {reference} is out of range (0–{n - 1}).")
+        raise ValueError(f"there is no image {reference} to align to: they are numbered 0 to {n - 1}")
     return reference
 
 
 def run(cfg: FocusStackConfig, progress: ProgressCallback | None = None, spark: SparkSession | None = None) -> RunResult:
+    """The whole run. Images are decoded once, into the shared folder. An interrupt cancels the jobs that are running."""
     spark = spark or SparkSession.builder.getOrCreate()
     tell = progress or (lambda *_: None)
 
     def part(a: float, b: float):
         return lambda f, stage, message: tell(a + f * (b - a), stage, message)
 
-    def go_on():
-        if cfg.interrupt and cfg.interrupt():
-            raise Interrupted
-
     tell(0.0, "loading", "Loading images")
-    frames, size = resolve_images(spark, cfg.images)
-    if cfg.cull is not None:
-        frames, result = cull_unfocused_images(frames, size, cfg.cull, part(0.02, 0.05))
-        n = len(result.kept)
-        tell(0.05, "culling", f"Culled {result.n_culled} of {len(result.entries)} images")
-    else:
-        n = frames.select("frame_idx").count()
-    reference = pick_reference(cfg.reference, n)
-    go_on()
-    warps = [np.eye(2, 3)] * n
-    if not cfg.no_align:
-        tell(0.08, "aligning", "Aligning images")
-        warps = align_images(frames, n, size, cfg, reference, part(0.08, 0.30))
-    go_on()
-    return fuse(frames, n, size, warps, cfg, part(0.30, 0.95), tell)
+    with interruptible(spark, cfg.interrupt):
+        frames, size = resolve_images(spark, cfg.images)
+        frames = kept(frames, "frames")
+        if cfg.cull is not None:
+            frames, result = cull_unfocused_images(frames, size, cfg.cull, part(0.02, 0.05))
+            n = len(result.kept)
+            tell(0.05, "culling", f"Culled {result.n_culled} of {len(result.entries)} images")
+        else:
+            n = frames.count()
+        reference = pick_reference(cfg.reference, n)
+        warps = [np.eye(2, 3)] * n
+        if not cfg.no_align:
+            tell(0.08, "aligning", "Aligning images")
+            warps = align_images(frames, n, size, cfg, reference, part(0.08, 0.30))
+        return fuse(frames, n, size, warps, cfg, part(0.30, 0.95), tell)
 
 
 def fuse(frames: DataFrame, n: int, size, warps, cfg, progress, tell) -> RunResult:
@@ -276,8 +284,6 @@ def fuse(frames: DataFrame, n: int, size, warps, cfg, progress, tell) -> RunResu
     progress(0.0, "stacking", "Fusing images")
     image = next(iter(stack_images(frames, moved, levels, cfg.sharpness, canvas_size, cfg.no_fill, cfg.canvas_fit).values()))
     progress(1.0, "stacking", "Fused")
-    if cfg.interrupt and cfg.interrupt():
-        raise Interrupted
     tell(1.0, "complete", "Done")
     return RunResult(image, None)
 

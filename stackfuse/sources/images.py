@@ -1,8 +1,8 @@
 """Image files as frames, and frames as image files.
 
 A frame is a row: stack_id, frame_idx, origin, width, height, n_channels, depth (8 or 16), data (row by row, little-endian).
-PNG of 8 and 16 bits is read by a decoder here, as Spark's own image source loses the lower byte of 16-bit files; JPEG and
-TIFF of 8 bits are read through Spark's image source. WebP raises an error, as nothing here reads it.
+PNG and TIFF of 8 and 16 bits are read by decoders here, as Spark's own image source loses the lower byte of 16-bit files;
+JPEG is read through Spark's image source. WebP raises an error, as nothing here reads it.
 """
 
 from __future__ import annotations
@@ -145,6 +145,108 @@ def _encode_tiff(img: np.ndarray) -> bytes:
     return b"II*\0" + struct.pack("<I", bits_at + len(bits)) + data + bits + table
 
 
+def _tiff_tags(raw: bytes) -> dict[int, list[int]]:
+    """The whole-number tags of a TIFF file's first image."""
+    order = {b"II*\0": "<", b"MM\0*": ">"}.get(raw[:4])
+    if order is None:
+        raise ValueError("not a TIFF file")
+    out = {}
+    try:
+        (at,) = struct.unpack_from(order + "I", raw, 4)
+        (n,) = struct.unpack_from(order + "H", raw, at)
+        for i in range(n):
+            tag, kind, count = struct.unpack_from(order + "HHI", raw, at + 2 + 12 * i)
+            letter = {1: "B", 3: "H", 4: "I"}.get(kind)
+            if letter is None:
+                continue
+            spot = at + 10 + 12 * i
+            if struct.calcsize(letter) * count > 4:
+                (spot,) = struct.unpack_from(order + "I", raw, spot)
+            out[tag] = list(struct.unpack_from(f"{order}{count}{letter}", raw, spot))
+    except struct.error as e:
+        raise ValueError("a damaged TIFF file") from e
+    out[0] = [order == "<"]
+    return out
+
+
+def _unpack_lzw(data: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, highest bit first; 256 starts the table anew, 257 ends."""
+    out, bits, width, held, at, last = bytearray(), 0, 9, 0, 0, None
+    table: list[bytes] = []
+    while True:
+        while held < width:
+            if at >= len(data):
+                return bytes(out)
+            bits, held, at = (bits << 8 | data[at]) & 0xFFFFFFF, held + 8, at + 1
+        held -= width
+        code = bits >> held & ((1 << width) - 1)
+        if code == 257:
+            return bytes(out)
+        if code == 256:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, None
+            continue
+        if last is None:
+            word = table[code]
+        else:
+            word = table[code] if code < len(table) else last + last[:1]
+            table.append(last + word[:1])
+            width = min(12, max(9, (len(table) + 1).bit_length()))
+        out += word
+        last = word
+
+
+def _unpack_bits(data: bytes) -> bytes:
+    out, at = bytearray(), 0
+    while at < len(data):
+        n, at = data[at], at + 1
+        if n < 128:
+            out += data[at : at + n + 1]
+            at += n + 1
+        elif n > 128:
+            out += data[at : at + 1] * (257 - n)
+            at += 1
+    return bytes(out)
+
+
+def decode_tiff(raw: bytes) -> np.ndarray:
+    """(height, width, channels) of uint8 or uint16: strips, plain or packed (LZW, deflate, bits), pixel by pixel."""
+    tags = _tiff_tags(raw)
+    one = lambda tag, default=None: tags.get(tag, [default])[0]
+    width, height, channels, bits, packed = one(256), one(257), one(277, 1), one(258, 1), one(259, 1)
+    unpack = {1: bytes, 5: _unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpack_bits}.get(packed)
+    if bits not in (8, 16) or unpack is None or one(284, 1) != 1 or one(317, 1) not in (1, 2) or one(262) not in (0, 1, 2) or 273 not in tags or 279 not in tags:
+        raise ValueError("a kind of TIFF file that isn't supported")
+    size = bits // 8
+    try:
+        data = b"".join(unpack(raw[a : a + n]) for a, n in zip(tags[273], tags[279], strict=True))
+        img = np.frombuffer(data, ("<u" if one(0) else ">u") + str(size))[: height * width * channels].reshape(height, width, channels)
+    except (ValueError, IndexError, zlib.error) as e:
+        raise ValueError("a damaged TIFF file") from e
+    img = img.astype(np.uint16 if bits == 16 else np.uint8)
+    if one(317, 1) == 2:
+        img = np.cumsum(img, axis=1, dtype=img.dtype)
+    return ~img if one(262) == 0 else img
+
+
+def header(raw: bytes) -> tuple[int, int, int]:
+    """Width, height and depth (8 or 16) of a PNG, JPEG or TIFF file, from its first bytes; no pixel is decoded."""
+    if raw[:8] == MAGIC and len(raw) >= 26:
+        width, height, bits = struct.unpack(">IIB", raw[16:25])
+        return width, height, 16 if bits == 16 else 8
+    if raw[:4] in (b"II*\0", b"MM\0*"):
+        tags = _tiff_tags(raw)
+        return tags[256][0], tags[257][0], 16 if tags.get(258, [8])[0] == 16 else 8
+    if raw[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 <= len(raw) and raw[at] == 0xFF:
+            kind, size = raw[at + 1], struct.unpack(">H", raw[at + 2 : at + 4])[0]
+            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame's header
+                height, width = struct.unpack(">HH", raw[at + 5 : at + 9])
+                return width, height, 8
+            at += 2 + size
+    raise ValueError("not an image file that can be read")
+
+
 def rgb(img: np.ndarray) -> np.ndarray:
     """Three channels: grey thrice, alpha left out."""
     if img.ndim == 2:
@@ -176,38 +278,79 @@ def from_arrays(spark: SparkSession, images: Sequence[np.ndarray], stack: str =
     return spark.createDataFrame([tuple(bytearray(v) if isinstance(v, bytes) else v for v in r) for r in rows], FRAMES).repartition(max(1, len(rows)), "frame_idx")
 
 
-def _png_frames(batches):
+def first_depth(frames: DataFrame) -> int:
+    """The depth of the frame with the least number."""
+    return frames.agg(F.min_by("depth", "frame_idx")).first()[0]
+
+
+def _decoded(batches):
     for b in batches:
         for i in range(b.num_rows):
+            raw = b.column("content")[i].as_py()
             try:
-                img = rgb(decode_png(b.column("content")[i].as_py()))
+                img = rgb(decode_png(raw) if raw[:8] == MAGIC else decode_tiff(raw))
             except ValueError as e:
                 raise ValueError(f"can't read {b.column('path')[i].as_py()}: {e}") from e
             yield batch([record(b.column("stack_id")[i].as_py(), b.column("frame_idx")[i].as_py(), b.column("path")[i].as_py(), img)])
 
 
-def from_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Frames of a folder (by path), or of listed files (in their order). Anything that can't be read raises an error."""
+def _kind():
+    """A column: the ending of path, in lower case."""
+    return F.lower(F.regexp_extract("path", r"(\.[^./\\]+)$", 1))
+
+
+def _full(path):
+    """A column of paths, with one slash before absolute local ones, however the source writes them."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def listing(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(path, frame_idx, stack_id) of the images of a folder (by path) or of listed files (in their order), and their files."""
     importable(spark)
     listed = None if isinstance(path, (str, Path)) else [str(p) for p in path]
-    files = spark.read.format("binaryFile").load(listed if listed is not None else str(path))
+    files = spark.read.format("binaryFile").load(listed if listed is not None else str(path)).withColumn("path", _full(F.col("path")))
     rows = files.where(T.supported(F.col("path"))).select("path")
-    if listed is not None:
-        order = {Path(p).name: i for i, p in enumerate(listed)}
-        names = spark.createDataFrame(list(order.items()), "name string, frame_idx int")
-        rows = rows.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(names, "name").withColumn("stack_id", F.lit("stack")).drop("name")
-    else:
-        rows = T.ordered(rows).withColumn("stack_id", F.lit("stack"))
-    kind = F.lower(F.regexp_extract("path", r"(\.[^./\\]+)$", 1))
-    kinds = {r[0] for r in rows.select(kind.alias("k")).distinct().collect()}  # six at most
+    if listed is None:
+        return T.ordered(rows).withColumn("stack_id", F.lit("stack")), files
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    full = []
+    for i, p in enumerate(listed):
+        there = jvm.org.apache.hadoop.fs.Path(p)
+        full.append((there.getFileSystem(conf).makeQualified(there).toString(), i))
+    order = spark.createDataFrame(full, "path string, frame_idx int").withColumn("path", _full(F.col("path")))
+    return rows.dropDuplicates(["path"]).join(order, "path").withColumn("stack_id", F.lit("stack")), files.dropDuplicates(["path"])
+
+
+def probe(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[int, int, int]]:
+    """(width, height, depth) of the first two images, from their headers."""
+    rows, files = listing(spark, path)
+    first = rows.orderBy("frame_idx").limit(2).join(files.select("path", "content"), "path").orderBy("frame_idx")
+    out = []
+    for r in first.collect():  # two rows
+        if r["path"].lower().endswith(".webp"):
+            raise ValueError("no reader for .webp files")
+        try:
+            out.append(header(bytes(r["content"])))
+        except (ValueError, KeyError, struct.error) as e:
+            raise ValueError(f"can't read {r['path']}: {e}") from e
+    return out
+
+
+def from_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Frames of a folder (by path), or of listed files (in their order). Anything that can't be read raises an error."""
+    rows, files = listing(spark, path)
+    kinds = {r[0] for r in rows.select(_kind().alias("k")).distinct().collect()}  # six at most
     if ".webp" in kinds:
         raise ValueError("no reader for .webp files")
     parts = []
-    if ".png" in kinds:
-        parts.append(rows.where(kind == ".png").join(files.select("path", "content"), "path").mapInArrow(_png_frames, FRAMES))
-    if kinds - {".png"}:
-        pictures = spark.read.format("image").load(listed if listed is not None else str(path)).select("image.*").withColumnRenamed("origin", "path")
-        found = rows.where(kind != ".png").withColumn("name", F.element_at(F.split("path", "/"), -1)).join(pictures.withColumn("name", F.element_at(F.split("path", "/"), -1)).drop("path"), "name")
+    own = (".png", ".tif", ".tiff")
+    if kinds & set(own):
+        # the numbers are small: they go to the files, which aren't shuffled where Spark finds them so
+        parts.append(files.select("path", "content").join(rows.where(_kind().isin(*own)), "path").select("stack_id", "frame_idx", "path", "content").mapInArrow(_decoded, FRAMES))
+    if kinds - set(own):
+        pictures = spark.read.format("image").load(path if isinstance(path, (str, Path)) else [str(p) for p in path]).select("image.*")
+        pictures = pictures.withColumn("path", _full(F.col("origin"))).drop("origin")
+        found = pictures.join(rows.where(~_kind().isin(*own)), "path")
         parts.append(found.select("stack_id", "frame_idx", "path", "width", "height", "nChannels", "data").mapInArrow(_spark_frames, FRAMES))
     if not parts:
         raise ValueError(f"no images in {path}")

@@ -1,7 +1,7 @@
 """Stacks whose frames arrive one after another.
 
 FrameStream keeps frames in a folder and holds only what the next frame needs: the last grey image and the preview's sums.
-Structured Streaming does the same for many stacks at once: state by stack, small sums instead of frames.
+Structured Streaming fuses many stacks at once: the state of a stack is the running sums of its fused image, never a frame.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from ..functions import kernels as K
 from ..operators import fusion
 from ..plans import blocks as B
 from ..plans import run as R
+from ..session import shared
 from ..sources import images as I
 from ..sources import tables as T
 
@@ -65,7 +66,7 @@ class FrameStream:
         self.on_preview, self.scale = on_preview, min(1.0, max(0.05, preview_scale))
         self.spark = spark or SparkSession.builder.getOrCreate()
         T.importable(self.spark)
-        self.at = f"{_shared(self.spark)}/frames-{uuid.uuid4().hex}"
+        self.at = f"{shared(self.spark)}/frames-{uuid.uuid4().hex}"
         self.scores: list[float] = []
         self.steps: list[tuple[np.ndarray, bool]] = []
         self.last = None
@@ -76,7 +77,7 @@ class FrameStream:
     def add_image(self, image: np.ndarray) -> None:
         width, height = self.size
         if image.shape[:2] != (height, width):
-            raise ValueError(f"Image size {image.shape[1]}x{image.shape[0]} does not match reference size {width}x{height}.")
+            raise ValueError(f"the stream has images of {width} x {height}; this one has {image.shape[1]} x {image.shape[0]}")
         i = len(self.scores)
         grey = K.grey(B.narrow(image))
         self.scores.append(K.focus_score(grey))
@@ -121,7 +122,7 @@ class FrameStream:
 
         n = len(self.scores)
         if n < 2:
-            raise ValueError(f"Need at least 2 images, got {n}.")
+            raise ValueError(f"two images or more are needed; there are {n}")
         kept = list(range(n))
         if self.cull_threshold is not None and max(self.scores) > 0:
             kept = [i for i in kept if self.scores[i] >= self.cull_threshold]
@@ -144,23 +145,13 @@ class FrameStream:
 StreamingFocusStacker = FrameStream
 
 
-def _shared(spark: SparkSession) -> str:
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="stackfuse-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 # ---- Structured Streaming
 
 
 def _drained(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what is there, and reads its last results: a table in the shared folder."""
     spark = stream.sparkSession
-    at = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    at = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number:09d}")  # the same batch again replaces itself
@@ -186,20 +177,45 @@ def event_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updates.groupBy(*keys).agg(F.max_by("v", "batch").alias("v"))
 
 
-def _count_frames(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Frames and the sum of pixels of a stack so far; nothing else is kept."""
-    n, total, pixels = state.get if state.exists else (0, 0.0, 0)
-    for b in batches:
-        n += len(b)
-        total += float(b["total"].sum())
-        pixels += int(b["pixels"].sum())
-    state.update((n, total, pixels))
-    yield pd.DataFrame({"stack_id": [key[0]], "n": [n], "mean": [total / max(pixels, 1)]})
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as they come, as frames of 8 x 8 pixels: stack_id, vec_id, pixels."""
+    return _stream(spark, sf_dir, "embeddings").select(F.col("label").alias("stack_id"), "vec_id", F.transform("embedding", lambda e: F.floor((e.cast("double") + 1) * 127.5).cast("double")).alias("pixels"))
+
+
+def _fuse_frames(side: int, sharpness: float):
+    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Adds frames to a stack's sums (energy, energy times value, value, count) and returns the image so far."""
+        kept = state.get if state.exists else None
+        acc = {}
+        if kept:
+            se, sex, sx = (np.frombuffer(bytes(x)).reshape(side, side) for x in kept[:3])
+            acc[("stack", 0)] = [se.copy(), sex.reshape(side, side, 1).copy(), sx.reshape(side, side, 1).copy(), kept[3]]
+        for b in batches:
+            for pixels in b.sort_values("vec_id")["pixels"]:
+                B._accumulate(acc, "stack", np.asarray(pixels, float).reshape(side, side, 1), 255, 0, sharpness)
+        se, sex, sx, n = acc[("stack", 0)]
+        state.update((se.tobytes(), sex.tobytes(), sx.tobytes(), n))
+        image = K.finish(se, sex, sx, n)[:, :, 0]
+        y, x = np.mgrid[0:side, 0:side]
+        yield pd.DataFrame({"stack_id": key[0], "y": y.ravel(), "x": x.ravel(), "v": image.ravel(), "n": n})
+
+    return work
+
+
+def _fused_updates(spark: SparkSession, sf_dir: str, sharpness: float = 4.0) -> DataFrame:
+    """The images of all stacks after each batch of a stream; one shuffle of the frames, by stack."""
+    grouped = _vectors(spark, sf_dir).groupBy("stack_id")
+    return grouped.applyInPandasWithState(_fuse_frames(8, sharpness), "stack_id int, y int, x int, v double, n long", "se binary, sex binary, sx binary, n long", "update", GroupStateTimeout.NoTimeout)
+
+
+def stack_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten stacks fused by a stateful operator as their frames arrive: the images at the stream's end."""
+    updates = _drained(_fused_updates(spark, sf_dir), "update")
+    return updates.groupBy("stack_id", "y", "x").agg(F.max_by("v", "batch").alias("v"))
 
 
 def stack_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as frames of ten stacks through a stateful operator: frames and mean pixel of each at the stream's end."""
-    pixel = lambda e: F.floor((e.cast("double") + 1) * 127.5)
-    frames = _stream(spark, sf_dir, "embeddings").select(F.col("label").alias("stack_id"), F.aggregate("embedding", F.lit(0.0), lambda a, e: a + pixel(e)).alias("total"), F.size("embedding").alias("pixels"))
-    state = frames.groupBy("stack_id").applyInPandasWithState(_count_frames, "stack_id int, n long, mean double", "n long, total double, pixels long", "update", GroupStateTimeout.NoTimeout)
-    return _drained(state, "update").groupBy("stack_id").agg(F.max_by("n", "batch").alias("n"), F.max_by("mean", "batch").alias("mean"))
+    """How many frames each of these stacks has at the stream's end, and the mean of its image."""
+    updates = _drained(_fused_updates(spark, sf_dir), "update").withColumn("v", F.round("v", 9))
+    last = updates.groupBy("stack_id", "y", "x").agg(F.max_by("v", "batch").alias("v"), F.max("n").alias("n"))
+    return last.groupBy("stack_id").agg(F.max("n").alias("n"), F.avg("v").alias("mean"))

@@ -40,7 +40,7 @@ def test_query(spark, sql, name):
             assert (got[c] == want[c]).all(), c
 
 
-@pytest.mark.parametrize("name", ["warp_stacks_bilinear", "warp_stacks_no_fill"])
+@pytest.mark.parametrize("name", ["warp_bilinear", "warp_no_fill"])
 def test_every_warp_meets_the_whole_canvas(spark, name):
     got = catalogue.QUERIES[name](spark, SF).toPandas()
     assert len(got) == len(got.drop_duplicates(["stack_id", "frame_idx", "y", "x"])) == 25 * 32 * 32
