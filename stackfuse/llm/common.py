@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 import itertools
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import importable
+from ..session import shared as shared_dir
 
 #: Texts go through numpy in runs of about so many bytes, which bounds a task's memory.
 BLOCK_BYTES = 2 << 20
@@ -30,22 +31,35 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the cluster names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="stackfuse-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+#: With this, Spark drops the shuffle files of a query as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def conf(spark: SparkSession, key: str, value: str):
+    """A setting of the session that holds in here."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def cleaned(spark: SparkSession):
+    """Queries that are run to their end in here leave no shuffle files behind. Not for queries that others run later."""
+    return conf(spark, CLEANUP, "true")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: lineage is cut and lost executors cost nothing."""
+    """df, written to the shared folder and read again: lineage is cut, lost executors cost nothing, and no shuffle files stay."""
     spark = df.sparkSession
     at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
+    with cleaned(spark):
+        df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -77,7 +91,7 @@ def _powers(n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """At least n powers of an odd number and of its inverse modulo 2^64."""
-    return _powers(1 << max(22, int(n).bit_length()), salt)
+    return _powers(1 << max(20, int(n).bit_length()), salt)
 
 
 def power(n: int) -> np.uint64:
@@ -149,19 +163,26 @@ def fresh(columns: list[str], wanted: str) -> str:
     return next(x for x in itertools.chain([wanted], (f"{wanted}_{i}" for i in itertools.count(1))) if x.lower() not in taken)
 
 
+def index_of(columns: list[str], name: str) -> int:
+    """Where a column stands: the one of exactly that name, else the only one that differs in case alone."""
+    found = [i for i, c in enumerate(columns) if c == name] or [i for i, c in enumerate(columns) if c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"there must be one column {name!r}")
+    return found[0]
+
+
 def doc_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, with fixed names and types; other columns, clashing or not, never come along."""
     return docs.select(F.col(plain(id_col)).cast("long").alias("doc_id"), F.coalesce(F.col(plain(text_col)).cast("string"), F.lit("")).alias("text"))
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes saved tables that are no longer needed, and lets Spark's cleaner drop the shuffle files of plans that are gone."""
+    """Deletes saved tables that are no longer needed."""
     jvm = spark.sparkContext._jvm
     for df in tables:
         for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(f)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    jvm.System.gc()
 
 
 def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
