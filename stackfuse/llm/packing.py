@@ -1,9 +1,9 @@
 """Packing by optimal length buckets.
 
-Texts are cut into sequences of at most `longest` units (bytes of UTF-8, the units of a byte-level vocabulary, unless a length
-column is named). The histogram of all sequence lengths is made in one aggregation; dynamic programming over it chooses
-the bucket boundaries that minimise padding. Inside each bucket, batches hold as many sequences as the token budget
-takes when each is padded to the bucket's boundary.
+Texts are cut into sequences of at most `longest` tokens of a vocabulary (pack_tokens), between pre-tokens, so that no character
+is cut; or of a length column's units (pack). The histogram of all sequence lengths is made in one aggregation; dynamic
+programming over it chooses the bucket boundaries that minimise padding. Inside each bucket, batches hold as many sequences as
+the token budget takes when each is padded to the bucket's boundary.
 
 The histogram has at most `longest` rows, whatever the input, so it may come to the driver. Numbering goes by cells of a
 bucket, of about CELL sequences each, by a hash of id, piece and length: no window sees a whole bucket.
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import tokens
 
 #: Sequences in a numbering cell, about; each cell ends with one batch that may not be full.
 CELL = 20_000
@@ -66,24 +67,32 @@ def boundaries(lengths: list[int], counts: list[int], k: int) -> list[int]:
     return sorted(set(out))
 
 
-def sequences(docs: DataFrame, longest: int, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+def sequences(docs: DataFrame, longest: int, length_col: str, id_col: str = "doc_id") -> DataFrame:
     """doc_id, piece, start, length: what a text of more than longest units is cut into."""
-    size = F.col(C.plain(length_col)).cast("long") if length_col else F.octet_length(F.col(C.plain(text_col)).cast("string")).cast("long")
-    rows = docs.select(F.col(C.plain(id_col)).cast("long").alias("doc_id"), F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).alias("size"))
+    rows = docs.select(F.col(C.plain(id_col)).cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col(C.plain(length_col)).cast("long"), F.lit(0)), F.lit(0)).alias("size"))
     last = F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / longest).cast("long")
     cut = rows.select("doc_id", "size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
     start = F.col("piece") * longest
     return cut.select("doc_id", F.col("piece").cast("int").alias("piece"), start.alias("start"), F.least(F.col("size") - start, F.lit(longest)).cast("int").alias("length"))
 
 
-def pack(docs: DataFrame, k: int = 16, longest: int = 4096, budget: int = 65_536, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """A row for each sequence: doc_id, piece, start, length, bucket (its number), bucket_len, cell, batch, slot.
+def pack(docs: DataFrame, length_col: str, k: int = 16, longest: int = 4096, budget: int = 65_536, id_col: str = "doc_id") -> DataFrame:
+    """place() for texts of which only lengths are known: doc_id, piece, start and length in units of length_col."""
+    return place(sequences(docs, longest, length_col, id_col), k, longest, budget)
 
-    A batch is known by (bucket, cell, batch); slot is the place in it.
-    """
+
+def pack_tokens(docs: DataFrame, path: str, k: int = 16, longest: int = 4096, budget: int = 65_536, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
+    """place() for texts, in tokens of the vocabulary in path: doc_id, piece, start (code points), length (tokens) and, with texts,
+    the text of each sequence. The texts of a document's pieces, joined, are its text."""
+    rows = tokens.token_sequences(docs, path, longest, id_col, text_col)
+    return place(C.saved(rows if texts else rows.drop("text"), "sequences"), k, longest, budget)
+
+
+def place(rows: DataFrame, k: int, longest: int, budget: int) -> DataFrame:
+    """rows (doc_id, piece, length and more) with bucket (its number), bucket_len, cell, batch, slot. A batch is known by (bucket,
+    cell, batch); slot is the place in it."""
     if budget < longest:
         raise ValueError("the token budget must hold the longest sequence")
-    rows = sequences(docs, longest, id_col, text_col, length_col)
     histogram = sorted((r[0], r[1]) for r in rows.groupBy("length").count().collect())  # at most longest + 1 rows
     bounds = boundaries([a for a, _ in histogram], [b for _, b in histogram], k)
     if not bounds:
@@ -99,6 +108,4 @@ def pack(docs: DataFrame, k: int = 16, longest: int = 4096, budget: int = 65_536
     placed = placed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.col("cells")).cast("int"))
     order = Window.partitionBy("bucket", "cell").orderBy("length", "doc_id", "piece")
     at = (F.row_number().over(order) - 1).cast("long")
-    return placed.withColumn("at", at).select(
-        "doc_id", "piece", "start", "length", "bucket", "bucket_len", "cell", F.floor(F.col("at") / F.col("holds")).cast("long").alias("batch"), (F.col("at") % F.col("holds")).cast("int").alias("slot")
-    )
+    return placed.withColumn("at", at).select(*rows.columns, "bucket", "bucket_len", "cell", F.floor(F.col("at") / F.col("holds")).cast("long").alias("batch"), (F.col("at") % F.col("holds")).cast("int").alias("slot"))

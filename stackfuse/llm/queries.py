@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
 from . import chunks, decontaminate, minhash, packing, secrets, suffixes, syncmers, tokens, toxicity, warc
+from .oracle import ORACLE_SQL  # noqa: F401
 
 
 def op1_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_chain(C.table(spark, sf_dir, "documents"))
 
 
-def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vocabulary() -> str:
     import public_tokenizers
 
-    return tokens.count_tokens(C.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(C.table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +34,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(C.table(spark, sf_dir, "documents"))
+    return packing.pack_tokens(C.table(spark, sf_dir, "documents"), vocabulary(), texts=False)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +61,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_syncmers, op2_token_counts, op3_chunk_dedup, op4_secret_scan, op5_packing, op6_decontamination, op7_toxicity, op8_suffix_dedup, op9_warc, op10_minhash)
 }
-
-#: SQL on whole tables is too slow for these, or can't express them; the tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {}

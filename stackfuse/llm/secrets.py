@@ -39,12 +39,14 @@ class Rule:
     base: bool = False
 
 
-#: A private key: its header, and all up to the END line; where that is missing, header fields and base64 as far as it goes.
-PEM = (
-    r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY(?: BLOCK)?-----"
-    r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z]+ )?PRIVATE KEY(?: BLOCK)?-----"
-    r"""|(?:\s*\n[A-Za-z-]+:[^\n]*)*(?:(?:(?:\s|\\[rn]|["',>])+[A-Za-z0-9+/=]{16,})+(?:[ \t]*(?:\r?\n|\\n)[ \t]*[A-Za-z0-9+/=]{1,15}(?![^\s\\"']))?)?)"""
-)
+#: A private key: its header, and all up to the END line; where that is missing (before another line of five dashes), header
+#: fields and base64 as far as it goes, with a shorter last line.
+PEM_HEAD = r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY(?: BLOCK)?-----"
+PEM_WHOLE = r"[^-]*(?:-{1,4}[^-]+)*-----END (?:[A-Z]+ )?PRIVATE KEY(?: BLOCK)?-----"
+PEM_FIELDS = r"(?:[\x09-\x0d ]*\n[A-Za-z-]+:[^\n]*)*"
+PEM_LINES = r"""(?:(?:[\x09-\x0d ]|\\[rn]|["',>])+[A-Za-z0-9+/=]{16,})+"""
+PEM_TAIL = r"[ \t]*(?:\r?\n|\\n)[ \t]*[A-Za-z0-9+/=]{1,15}"
+PEM = rf"""{PEM_HEAD}(?:{PEM_WHOLE}|{PEM_FIELDS}(?:{PEM_LINES}(?:{PEM_TAIL}(?![^\x09-\x0d \\"']))?)?)"""
 
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE, 2, 6, True),
@@ -276,8 +278,8 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str =
             at = max(at, b)
         return "".join(out) + t[at:]
 
-    where = next(i for i, c in enumerate(docs.columns) if c.lower() == text_col.lower())
-    length = next((i for i, c in enumerate(docs.columns) if length_col and c.lower() == length_col.lower()), None)
+    where = C.index_of(docs.columns, text_col)
+    length = C.index_of(docs.columns, length_col) if length_col and length_col.lower() in [c.lower() for c in docs.columns] else None
 
     def work(batches):
         scanner = Scanner(rules)

@@ -80,12 +80,45 @@ class Counts:
             added = len(parts) - 1
         counts: Counter = Counter()
         for part in parts:
-            if OTHER.search(part):
-                counts.update(part[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part))
-            else:
-                counts.update(self.cut(part))
+            counts.update(self._words(part))
         return counts, added
 
+    def segments(self, text: str, longest: int) -> list[tuple[int, int, int]]:
+        """Cuts a text into stretches (start, end, tokens) of at most longest tokens, as long as can be, between pre-tokens. A
+        pre-token of more tokens is cut between characters, into parts of at most longest bytes."""
+        words: list[str] = []
+        alone: list[int] = []  # added tokens among them
+        at = 0
+        for m in [*self.added.finditer(text)] if self.added else []:
+            words += self._words(text[at : m.start()])
+            alone.append(len(words))
+            words.append(m[0])
+            at = m.end()
+        words += self._words(text[at:])
+        count = self.pieces(words)
+        count[alone] = 1
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        if (big := np.flatnonzero(count > longest)).size:
+            parts, counts, last = [], [], 0
+            for i in big.tolist():
+                own = _in_bytes(words[i], longest)
+                parts += [*words[last:i], *own]
+                counts += [count[last:i], self.pieces(own)]
+                last = i + 1
+            count = np.concatenate([*counts, count[last:]])
+            size = np.array([len(w) for w in [*parts, *words[last:]]])
+        tokens, chars = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(size)])
+        out, i = [], 0
+        while i < len(count):
+            j = int(np.searchsorted(tokens, tokens[i] + longest, side="right")) - 1
+            out.append((int(chars[i]), int(chars[j]), int(tokens[j] - tokens[i])))
+            i = j
+        return out or [(0, 0, 0)]
+
+    def _words(self, part: str) -> list[str]:
+        """The pre-tokens of a text without added tokens, in order."""
+        return [part[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)] if OTHER.search(part) else self.cut(part)
+
     def pieces(self, distinct: list[str]) -> np.ndarray:
         """The number of pieces of each; what is new is counted once."""
         if len(self.known) > REMEMBERED:
@@ -119,6 +152,45 @@ class Counts:
         return total[bounds[1:]] - total[bounds[:-1]] + np.array(added, np.int64), each[bounds[1:]] - each[bounds[:-1]], np.diff(bounds)
 
 
+def _in_bytes(word: str, most: int) -> list[str]:
+    """A word in parts of at most most bytes (or one character)."""
+    out, start, size = [], 0, 0
+    for i, c in enumerate(word):
+        n = len(c.encode("utf-8", "replace"))
+        if size + n > most and i > start:
+            out.append(word[start:i])
+            start, size = i, 0
+        size += n
+    return [*out, word[start:]]
+
+
+def token_sequences(docs: DataFrame, path: str, longest: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, piece, start (code points), length (tokens), text: each text in pieces of at most longest tokens, which joined give
+    the text again; an empty or null one is a piece of length 0. No shuffle."""
+
+    def work(batches):
+        counter = Counts(path)
+        for batch in batches:
+            texts = C.texts_of(batch.column("text"))
+            for start, end in C.runs([len(t) for t in texts], 2 * C.BLOCK_BYTES):
+                own = [C.text(t) for t in texts[start:end]]
+                tokens, _, _ = counter.block(own)
+                cuts = [[(0, len(t), n)] if n <= longest else counter.segments(t, longest) for t, n in zip(own, tokens.tolist(), strict=True)]
+                owner = np.repeat(np.arange(start, end), [len(c) for c in cuts])
+                flat = [x for c in cuts for x in c]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": batch.column("doc_id").take(pa.array(owner)),
+                        "piece": pa.array([i for c in cuts for i in range(len(c))], pa.int32()),
+                        "start": pa.array([x[0] for x in flat], pa.int64()),
+                        "length": pa.array([x[2] for x in flat], pa.int32()),
+                        "text": pa.array([t[a:b] for t, c in zip(own, cuts, strict=True) for a, b, _ in c], pa.string()),
+                    }
+                )
+
+    return C.doc_rows(docs, id_col, text_col).mapInArrow(work, "doc_id long, piece int, start long, length int, text string")
+
+
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """Per document its bytes and tokens, and whether they are more than limit. No shuffle: one pass over the texts.
 
