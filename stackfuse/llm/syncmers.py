@@ -3,10 +3,12 @@
 A k-mer of characters is an anchor if the least of its inner s-mers (by hash) lies first or last in it. That depends on the
 k-mer alone, so equal passages hold equal anchors at equal distances, whatever stands around them. A fingerprint keeps the
 `size` anchors of least hash with their places; two fingerprints are compared by the anchors that lie in the same order in
-both (the longest such chain) against the `size` least of all their anchors.
+both (the longest such chain; insertions may shift them) against the `size` least of all their anchors.
+
+Short texts (of fewer than 3 k characters) have few k-mers or none, so theirs are of SHORT characters.
 
 Nulls: a null text counts as empty and has the fingerprint ''; a null id sorts after all others. Texts without an anchor
-(shorter than k, or unlucky) have one that hashes the whole text. Rows with equal ids are separate documents, ordered by text.
+(shorter than a k-mer, or unlucky) have one that hashes the whole text. Rows with equal ids are separate documents, ordered by text.
 An empty table gives an empty result. Only the id and text columns are read, so further columns never clash.
 """
 
@@ -25,10 +27,22 @@ from pyspark.sql import functions as F
 from . import common as C
 
 K, S, SIZE = 16, 6, 64
+#: The k-mers of short texts, and their inner strings.
+SHORT = (6, 3)
 
 
 def anchors(texts: list[str], k: int = K, s: int = S, size: int = SIZE) -> list[list[tuple[int, int]]]:
     """Per text its anchors (32-bit hash, place), those of least hash, in the order of place."""
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    short = [len(t) < 3 * k for t in texts]
+    for kind, sizes in ((False, (k, s)), (True, SHORT)):
+        which = [i for i, x in enumerate(short) if x == kind]
+        for i, found in zip(which, _anchors([texts[i] for i in which], *sizes, size) if which else [], strict=True):
+            out[i] = found
+    return out
+
+
+def _anchors(texts: list[str], k: int, s: int, size: int) -> list[list[tuple[int, int]]]:
     codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     sizes = np.array([len(c) for c in codes], np.int64)
     ends = np.cumsum(sizes)
