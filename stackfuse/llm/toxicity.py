@@ -2,9 +2,9 @@
 
 A text is read as words: runs of letters, digits and bytes above 127, A-Z lowered. The input of a word is the sum of a
 word vector (hashed) and the mean of its character vectors (hashed runs of four bytes of the word with a space before
-and after it, which tells stems and endings apart). All windows of WINDOW words at every STRIDE words, so that each overlaps the next, go through
-a GRU in both directions; attention pools the states; a logistic unit scores the window. A document's score is that of its
-highest window. Training follows that: each step moves the network on the highest window of each labelled document (a toxic
+and after it, which tells stems and endings apart). All windows of WINDOW words at every STRIDE words, each overlapping the next
+by half, go through a GRU in both directions; attention pools the states; a logistic unit scores the window. A document's score
+is that of its highest window. Training follows that: each step moves the network on the highest window of each labelled document (a toxic
 document needs one toxic window, a clean one must have none), by Adam, with gradients written out below.
 
 The network is fitted on a bounded sample: at most `per_class` labelled documents of each class and `most_bytes` bytes of
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-WINDOW, STRIDE = 30, 20
+WINDOW, STRIDE = 30, 15
 WORDS, GRAMS, WIDE, HIDDEN = 1 << 14, 1 << 15, 12, 8
 PER_CLASS, MOST_BYTES = 1500, 8 << 20
 #: Windows that go through the network at once.
@@ -153,7 +153,8 @@ class Network:
             return np.zeros(0)
         logits, words = self.logits(texts)
         first = np.flatnonzero(np.concatenate([[True], np.diff(words.owner) > 0]))
-        return _sigmoid(np.maximum.reduceat(logits, first).astype(np.float64))
+        # to six places: sums of floats may differ beyond with what else is in a block, and equal texts have equal scores
+        return np.round(_sigmoid(np.maximum.reduceat(logits, first).astype(np.float64)), 6)
 
     def logits(self, texts: list[bytes]) -> tuple[np.ndarray, Words]:
         words = words_of(texts)
@@ -312,14 +313,20 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_b
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     parts = [known.where(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     chosen = parts[0].union(parts[1])  # 2 * per_class rows at most
-    rows = C.doc_rows(docs).join(F.broadcast(chosen), "doc_id")
-    sizes = sorted((r[1], r[0], r[2]) for r in rows.select("doc_id", F.xxhash64("doc_id", "text"), F.octet_length("text")).collect())
-    total, ids = 0, set()
-    for _, i, size in sizes:  # in the order of a hash, while they fit
-        if total + size <= most_bytes:
-            total += size
-            ids.add(i)
-    found = sorted(((r[0], bytes(r[1]), r[2]) for r in rows.where(F.col("doc_id").isin(sorted(ids))).select("doc_id", F.col("text").cast("binary"), "toxic").collect()), key=lambda r: (r[0], r[1])) if ids else []
+    rows = C.doc_rows(docs).join(F.broadcast(chosen), "doc_id").withColumn("at", F.xxhash64("doc_id", "text"))
+    # of each id one text, so that no more than 2 * per_class rows come to the driver, however often an id repeats
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("at", F.octet_length("text").alias("size"))).alias("least"))
+    total, wanted = 0, []
+    for at, size, i in sorted(tuple(r) for r in one.select("least.at", "least.size", "doc_id").collect()):  # in the order of a hash, as far as they go
+        total += size
+        if total > most_bytes:
+            break
+        wanted.append((i, at))
+    if not wanted:
+        return None
+    spark = docs.sparkSession
+    texts = rows.join(F.broadcast(spark.createDataFrame(wanted, "doc_id long, at long")), ["doc_id", "at"]).select("doc_id", F.col("text").cast("binary"), "toxic")
+    found = sorted(((r[0], bytes(r[1]), r[2]) for r in texts.dropDuplicates(["doc_id"]).collect()), key=lambda r: r[0])
     toxic = np.array([r[2] for r in found], np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
         return None
@@ -349,7 +356,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, source: DataFrame | None = No
     """docs without the rows predicted toxic, all columns kept; source: where the labelled texts are, docs by default."""
     spark: SparkSession = docs.sparkSession
     sent = spark.sparkContext.broadcast(learn(source if source is not None else docs, labels, **options))
-    where = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+    where = C.index_of(docs.columns, "text")
 
     def work(batches):
         for batch in batches:
