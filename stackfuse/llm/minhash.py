@@ -3,7 +3,7 @@
 A document is the set of its distinct n-word shingles. One permutation (sigma) scatters the shingles over a circle, a second
 one (pi), shifted by k places, gives coordinate k of the signature: all coordinates come from two permutations. Signatures are
 cut into BANDS bands of ROWS coordinates; documents that agree in a band are candidates (at a similarity of 0.8 the chance
-that no band agrees is below 1e-7). Links are confirmed on full shingle sets:
+that no band agrees is below 6e-6; at 0.3 the chance that one does is 3 %). Links are confirmed on full shingle sets:
 
 1. Equal sets are one node (their smallest id), so exact copies cost one row each.
 2. Each bucket links its members to its smallest one; the components of these stars are candidate groups.
@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 40, 6
 #: The circle's size, as a power of two.
 CIRCLE = 20
-#: Members in a block when leftovers are compared.
-BLOCK = 3000
+#: Members in a block when leftovers are compared; a task holds two blocks.
+BLOCK = 500
+#: A node's edges are dealt to so many tasks where its label is looked up.
+SALT = 8
 LAST = 2**63 - 1
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -128,25 +130,33 @@ def _kind(rows: DataFrame) -> str:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Of edges (a, b): node, label (the smallest node it is connected with), for all nodes but the labels themselves.
 
-    Large stars and small stars take turns; each is a partial aggregation and a join that can be split where a node has many
-    edges. Every round is a table in the shared folder.
+    Large stars and small stars take turns; each is a partial aggregation and a join. A node may have very many edges, so joins
+    go by node and salt, the label of each node being there SALT times. Every round is a table in the shared folder.
     """
     now = C.saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     state = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     seen = state(now)
     while seen[0]:
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # large stars: the smaller end of an edge gives way to the least neighbour it has itself; ends without one are least
+        least = now.groupBy("u").agg(F.min("v").alias("m"))
+        large = _looked_up(now, "v", "u", least, "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct()
-        now = C.saved(small, name)
+        small = _looked_up(large, "u", "v", low, "inner").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct()
+        before, now = now, C.saved(small, name)
+        C.release(now.sparkSession, before)
         last, seen = seen, state(now)
         if last == seen:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
+def _looked_up(edges: DataFrame, key: str, other: str, labels: DataFrame, how: str) -> DataFrame:
+    """edges with the label m of the node in key."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALT)).cast("int"))
+    copies = labels.select(F.col("u").alias("of"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("copy"))
+    return salted.join(copies.hint("merge"), (F.col(key) == F.col("of")) & (F.col("salt") == F.col("copy")), how).select("u", "v", "m")
+
+
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
     at = np.searchsorted(a, b)
     at[at == len(a)] = 0
@@ -240,11 +250,13 @@ def _labelled(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str,
     spread = doubtful.select("id", "pivot", "dist", "linked", "block", F.explode(pairs).alias("p")).join(sets, ["id", "pivot"])
     more = spread.select("pivot", "p.i", "p.j", "id", "dist", "linked", "block", "set").groupBy("pivot", "i", "j").applyInArrow(_blocks(percent), f"a {kind}, b {kind}")
     name = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"{side}_label"))
-    joined = C.saved(more, "minhash-links").join(name("a"), "a").join(name("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+    links = C.saved(more, "minhash-links")
+    joined = links.join(name("a"), "a").join(name("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
     merged = components(joined, "minhash-merged")
     final = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("whole")), "label", "left")
     final = final.select(F.col("id").alias("node"), F.coalesce("whole", "label").alias("component"))
-    names = nodes.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    names = C.saved(nodes.join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("component")), "minhash-names")
+    C.release(rows.sparkSession, groups, sets, against, links, merged, nodes)
     found = signed.select("id", "n_shingles", "digest").join(names, "digest", "left")
     return found.select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
 

@@ -1,7 +1,7 @@
 """Token counts of byte-level BPE vocabularies, without token ids.
 
-Pieces are counted once per distinct pre-token of a block of documents, joined to the per-document pre-token frequencies of
-the block by index, and summed. The merges of such a vocabulary never cross a pre-token, so the sums are exact. Strings of
+Pieces are counted once per distinct pre-token that a task meets, joined to the per-document pre-token frequencies by a table in
+memory, and summed; no document has a list of ids. The merges of such a vocabulary never cross a pre-token, so the sums are exact. Strings of
 added tokens inside a text count one each, as the library does by default; texts between them are cut separately.
 
 Nulls: a null text counts as empty (0 bytes, 0 tokens); a null id stays null. Equal rows give equal rows. Empty tables give
@@ -11,6 +11,7 @@ empty results. Only the id and text columns are read.
 from __future__ import annotations
 
 import json
+import operator
 import re
 from collections import Counter
 
@@ -25,7 +26,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\
 #: Texts with others go through the library's own pre-tokenizer, as versions of Unicode differ in what is a letter.
 OTHER = re.compile("[^\\t-\\r -~\\xa0-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u024f\\u2010-\\u2026]")
 #: So many counted pre-tokens are remembered in a task at most; then the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_pretokens long, n_distinct long"
 
@@ -51,8 +52,8 @@ class Counts:
         names = sorted((t["content"] for t in added), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, names))) if names else None
         self.cut = re.compile(PATTERN).findall
-        self.merged = self._ranked(spec["model"])
-        self.known: dict[str, int] = {}
+        ranked = self._ranked(spec["model"])
+        self.known = _Pieces(ranked or (lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids))
 
     def _ranked(self, model: dict):
         """An encoder of single pre-tokens with the same merges, where each piece comes of one merge at most; else None."""
@@ -119,37 +120,34 @@ class Counts:
         """The pre-tokens of a text without added tokens, in order."""
         return [part[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)] if OTHER.search(part) else self.cut(part)
 
-    def pieces(self, distinct: list[str]) -> np.ndarray:
-        """The number of pieces of each; what is new is counted once."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [t for t in distinct if t not in self.known]
-        if self.merged is not None:
-            self.known.update((t, len(self.merged(t))) for t in new)
-            new = []
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.known.update(zip(part, map(len, self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
-        return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+    def pieces(self, words: list[str]) -> np.ndarray:
+        """The number of pieces of each."""
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: tokens, pre-tokens, distinct pre-tokens."""
-        index: dict[str, int] = {}
-        at: list[int] = []
-        often: list[int] = []
-        rows, added = [0], []
-        for t in texts:
-            counts, extra = self.pretokens(t)
-            at.extend(index.setdefault(p, len(index)) for p in counts)
-            often.extend(counts.values())
-            rows.append(len(at))
-            added.append(extra)
-        pieces = self.pieces(list(index))
-        freq = np.array(often, np.int64)
-        total = np.concatenate([[0], np.cumsum(freq * pieces[np.array(at, np.int64)])]) if at else np.zeros(1, np.int64)
-        each = np.concatenate([[0], np.cumsum(freq)])
-        bounds = np.array(rows)
-        return total[bounds[1:]] - total[bounds[:-1]] + np.array(added, np.int64), each[bounds[1:]] - each[bounds[:-1]], np.diff(bounds)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        out = np.zeros((3, len(texts)), np.int64)
+        pieces = self.known.__getitem__
+        for i, t in enumerate(texts):
+            counts, added = self.pretokens(t)
+            # the join of the text's frequencies with the pieces of distinct pre-tokens, summed
+            out[0, i] = added + sum(map(operator.mul, map(pieces, counts), counts.values()))
+            out[1, i], out[2, i] = counts.total(), len(counts)
+        return out[0], out[1], out[2]
+
+
+class _Pieces(dict):
+    """Pieces per distinct pre-token, counted when it is first met."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self.encode(word))
+        return n
 
 
 def _in_bytes(word: str, most: int) -> list[str]:
