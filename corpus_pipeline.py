@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from stackfuse.llm import common as C
-from stackfuse.llm import decontaminate, minhash, packing, secrets, toxicity
+from stackfuse.llm import decontaminate, minhash, packing, queries, secrets, toxicity
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each sequence, with its bucket, batch and slot."""
-    return packing.pack(docs)
+    """A row for each sequence of at most 4096 tokens: its text, and its bucket, batch and slot."""
+    return packing.pack_tokens(docs, queries.vocabulary())
 
 
 STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("decontamination", contaminated), ("secrets", secret), ("packing", packed)]
@@ -46,11 +46,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.table(spark, sf_dir, "documents")
+    docs, written = C.table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             at = f"{C.shared_dir(spark).rstrip('/')}/pipeline-{name}-{uuid.uuid4().hex}"
-            docs.write.parquet(at)
-            docs = spark.read.parquet(at)
+            with C.cleaned(spark):
+                docs.write.parquet(at)
+            if written is not None:  # its successor is written: no one reads it again
+                C.release(spark, written)
+            docs = written = spark.read.parquet(at)
     return docs
