@@ -1,5 +1,7 @@
 """Stack fusion on Spark: focus-bracketed images as relations and as frames."""
 
+__version__ = "0.2.0"
+
 from .demo import stack, stack_streaming
 from .functions.kernels import expand, reduce, region_deviation, region_energy, region_entropy
 from .operators.fusion import level_count

@@ -360,12 +360,12 @@ def canvas_crop(spark, sf_dir):
     return _rounded(geometry.canvas(T.affine_steps(spark, sf_dir), ["stack_id"], 32, 48, crop=True), "off_x", "off_y")
 
 
-def _warped(spark, sf_dir, fill):
+def _warped(spark, sf_dir, fill, cubic=False):
     """Every warp of every chain, over the whole canvas."""
     warps = T.affine_steps(spark, sf_dir)
     keys = ["stack_id", *FRAME]
     raster = T.raster_grey(spark, sf_dir).join(warps.select(*keys), FRAME)
-    return _rounded(geometry.warped(raster, warps, keys, keys, SIDE, SIDE, SIDE, SIDE, fill), "v").select(*keys, "y", "x", "v")
+    return _rounded(geometry.warped(raster, warps, keys, keys, SIDE, SIDE, SIDE, SIDE, fill, cubic), "v").select(*keys, "y", "x", "v")
 
 
 @query
@@ -373,6 +373,11 @@ def warp_bilinear(spark, sf_dir):
     return _warped(spark, sf_dir, True)
 
 
+@query
+def warp_bicubic(spark, sf_dir):
+    return _warped(spark, sf_dir, True, True)
+
+
 @query
 def warp_no_fill(spark, sf_dir):
     return _warped(spark, sf_dir, False)

@@ -58,8 +58,10 @@ def parser() -> argparse.ArgumentParser:
 def version() -> str:
     try:
         return metadata.version("stackfuse")
-    except metadata.PackageNotFoundError:
-        return "unknown"
+    except metadata.PackageNotFoundError:  # run from its folder
+        from . import __version__
+
+        return __version__
 
 
 def _streamed(args: argparse.Namespace, output: Path, slab: tuple[int, int] | None, spark: SparkSession) -> int:

@@ -238,12 +238,16 @@ ev AS (SELECT stack_id,MIN(x0) AS ox0,MAX(x1) AS ox1,MIN(y0) AS oy0,MAX(y1) AS o
 SELECT stack_id,CAST(GREATEST(CEIL(({x1})-({x0})),1) AS INT) AS width,CAST(GREATEST(CEIL(({y1})-({y0})),1) AS INT) AS height,ROUND(0.0-({x0}),6)+0.0 AS off_x,ROUND(0.0-({y0}),6)+0.0 AS off_y FROM ev"""
 
 
-def warp_sql(fill: bool) -> str:
+def warp_sql(fill: bool, cubic: bool = False) -> str:
     """All chains over the whole canvas."""
     inside = "" if fill else " * CASE WHEN fy BETWEEN 0 AND 31 AND fx BETWEEN 0 AND 31 THEN 1 ELSE 0 END"
+    near = "CASE WHEN {d}<=1 THEN 1.25::DOUBLE*{d}*{d}*{d}-2.25::DOUBLE*{d}*{d}+1 ELSE -0.75::DOUBLE*{d}*{d}*{d}+3.75::DOUBLE*{d}*{d}-6*{d}+3 END" if cubic else "(1-{d})"
+    reach = (-1, 0, 1, 2) if cubic else (0, 1)
+    taps = ",".join(f"({dy},{dx})" for dy in reach for dx in reach)
     return f"""WITH {GREY}, {STEPS}, g AS (SELECT st.*,CAST(ys.y AS INT) AS y,CAST(xs.x AS INT) AS x FROM st CROSS JOIN range(32) ys(y) CROSS JOIN range(32) xs(x)),
 bk AS (SELECT stack_id,frame_idx,y,x,(a11*(x-tx)-a01*(y-ty))/(a00*a11-a01*a10) AS sx,(a00*(y-ty)-a10*(x-tx))/(a00*a11-a01*a10) AS sy FROM g),
-tp AS (SELECT stack_id,frame_idx,y,x,CAST(FLOOR(sy) AS INT)+dy AS fy,CAST(FLOOR(sx) AS INT)+dx AS fx,(1-ABS(sy-FLOOR(sy)-dy))*(1-ABS(sx-FLOOR(sx)-dx)) AS w FROM bk CROSS JOIN (VALUES (0,0),(0,1),(1,0),(1,1)) d(dy,dx))
+ds AS (SELECT *,ABS(sy-FLOOR(sy)-dy) AS ey,ABS(sx-FLOOR(sx)-dx) AS ex FROM bk CROSS JOIN (VALUES {taps}) d(dy,dx)),
+tp AS (SELECT stack_id,frame_idx,y,x,CAST(FLOOR(sy) AS INT)+dy AS fy,CAST(FLOOR(sx) AS INT)+dx AS fx,({near.format(d='ey')})*({near.format(d='ex')}) AS w FROM ds)
 SELECT tp.stack_id,tp.frame_idx,tp.y,tp.x,ROUND(SUM(w*f.v{inside}),6)+0.0 AS v FROM tp JOIN f ON f.frame_idx=tp.frame_idx AND f.y={mirror('fy', 32)} AND f.x={mirror('fx', 32)} GROUP BY ALL"""
 
 
@@ -324,6 +328,7 @@ SELECT g.frame_idx,ROUND(COALESCE(CASE WHEN lf>0 THEN hf/lf END,0.0),6)+0.0 AS s
     "canvas_expand": canvas_sql(False),
     "canvas_crop": canvas_sql(True),
     "warp_bilinear": warp_sql(True),
+    "warp_bicubic": warp_sql(True, True),
     "warp_no_fill": warp_sql(False),
     "slab_ranges": f"""WITH RECURSIVE {STACKS}, n AS (SELECT stack_id,COUNT(DISTINCT frame_idx) AS n FROM s GROUP BY 1),
 w AS (SELECT stack_id,n,0 AS i,0 AS a,LEAST(10,n) AS b FROM n UNION ALL SELECT stack_id,n,i+1,a+7,LEAST(a+17,n) FROM w WHERE b<n)
