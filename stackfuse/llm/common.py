@@ -19,7 +19,7 @@ from ..session import importable
 from ..session import shared as shared_dir
 
 #: Texts go through numpy in runs of about so many bytes, which bounds a task's memory.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -243,7 +243,10 @@ def _labelled(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str,
     labels = against.select("id", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("id")).alias("label"))
     left = against.groupBy("pivot").agg(F.min(F.when(~F.col("linked"), F.col("dist"))).alias("nearest"), F.count("*").alias("size")).where("nearest IS NOT NULL")
     reach = 1 - percent / 100 + 1e-9
-    doubtful = against.join(left, "pivot").where(F.col("dist") >= F.col("nearest") - reach)
+    # a group may be very large: its one row of left is there SALT times, for its members by salt
+    copies = left.withColumnRenamed("pivot", "of").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = against.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))
+    doubtful = salted.join(copies.hint("merge"), (F.col("pivot") == F.col("of")) & (F.col("salt") == F.col("copy"))).where(F.col("dist") >= F.col("nearest") - reach)
     parts = F.ceil(F.col("size") / block).cast("int")
     doubtful = doubtful.select("id", "pivot", "dist", "linked", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("block"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))

@@ -710,6 +710,41 @@ def test_empty_tables_and_odd_columns(spark, docs, empty, name, monkeypatch):
     assert len(rows) >= docs.count()
 
 
+@pytest.mark.parametrize("name", sorted(n for n in queries.QUERIES if n != "op9_warc"))
+def test_a_very_long_text(spark, name, monkeypatch):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(20_000)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    long = say(350_000)
+    passage = long[1_000_000:1_000_400]
+    rows = [(1, long), (2, long[:1_500_000] + " changed here " + long[1_500_000:]), (3, passage), (4, "a b c"), (5, "x" * 300_000), (5, "x" * 300_000)]
+    rows += [(10 + i, f"{say(20)} {'znasty' if i % 2 else 'kind'} {say(20)}") for i in range(20)]
+    tables = {
+        "documents": spark.createDataFrame(rows, "doc_id long, text string"),
+        "benchmark": spark.createDataFrame([(1, passage)], "item_id long, text string"),
+        "labels": spark.createDataFrame([(10 + i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int"),
+    }
+    monkeypatch.setattr(C, "table", lambda spark, sf, name: tables[name])
+    got = queries.QUERIES[name](spark, "").collect()
+    if name == "op6_decontamination":
+        assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1), (3, 1)}
+        return
+    if name == "op5_packing":
+        assert {r.doc_id for r in got} == {i for i, _ in rows} and max(r.length for r in got) <= 4096
+        return
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+    by = {r.doc_id: r for r in got}
+    if name == "op8_suffix_dedup":
+        want = len(rows[1][1]) - by[2].n_removed
+        assert 10 <= want <= 20 and by[3].n_removed == 400 and by[5].n_removed == 299_999 and by[1].n_removed < 2000
+    if name == "op3_chunk_dedup":
+        assert by[2].n_bytes - by[2].n_removed < 600 and by[3].n_removed == 400
+    if name == "op10_minhash":
+        assert by[2].component_id == 1 and by[3].kept and by[5].kept
+    if name == "op1_syncmers":
+        assert by[2].near_edited > 0.4 and by[2].near_next > 0.9
+
+
 def test_empty_tables_of_the_others(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
