@@ -1,12 +1,13 @@
 """SQL (DuckDB) of the llm queries that SQL can express, written from their contracts over whole tables.
 
-Fingerprints, token counts, grown passages, optimal buckets, edit distances and networks are beyond it: the tests hold those
+Token counts, grown passages, optimal buckets, edit distances and networks are beyond it: the tests hold those
 queries against brute force, the tokenizer library and held-out accuracy.
 """
 
 from __future__ import annotations
 
-from . import secrets
+from . import common as C
+from . import secrets, syncmers
 
 LATE = 2**63 - 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,4 +88,61 @@ least_of AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
 SELECT doc_id, CAST(k.n AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept
 FROM k LEFT JOIN node USING (k) LEFT JOIN least_of ON least_of.node = node.node"""
 
-ORACLE_SQL = {"op4_secret_scan": SECRETS, "op8_suffix_dedup": REPEATS, "op9_warc": ARCHIVES, "op10_minhash": SIMILAR}
+# ---- fingerprints: arithmetic modulo 2^64 in 128-bit numbers
+
+WORD = "18446744073709551615::UHUGEINT"  # a mask, as remainders of 128-bit numbers are slow
+
+
+def _times(a: str, b: int) -> str:
+    return f"((({a}) * {b % 2**64}::UHUGEINT) & {WORD})"
+
+
+def _mixed(a: str) -> str:
+    """The finaliser of 64-bit hashes."""
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        a = f"({_times(f'xor({a}, ({a}) >> 33)', factor)})"
+    return f"xor({a}, ({a}) >> 33)"
+
+
+def _gram(k: int) -> str:
+    """The polynomial of the k codes from a place on."""
+    terms = [_times(f"lead(c, {j}) OVER w" if j else "c", pow(C.BASE, k - 1 - j, 2**64)) for j in range(k)]
+    return f"({' + '.join(terms)}) & {WORD}"
+
+
+def _anchored(name: str, where: str, k: int, s: int) -> str:
+    """Closed syncmers of the texts that a condition names: id, place, hash."""
+    return f"""{name}_gram AS (SELECT id, p, n, {_gram(s)} AS sg, {_gram(k)} AS kg FROM codes WHERE {where} WINDOW w AS (PARTITION BY id ORDER BY p)),
+{name}_hash AS (SELECT id, p, n, {_mixed('sg')} AS sg, ({_mixed('kg')}) // 4294967296 AS h FROM {name}_gram WHERE p + {s} <= n),
+{name}_least AS (SELECT id, p, n, h, sg, lead(sg, {k - s}) OVER w AS far, min(sg) OVER (PARTITION BY id ORDER BY p ROWS BETWEEN CURRENT ROW AND {k - s} FOLLOWING) AS least FROM {name}_hash WINDOW w AS (PARTITION BY id ORDER BY p)),
+{name} AS (SELECT id, p, CAST(h AS BIGINT) AS h FROM {name}_least WHERE p + {k} <= n AND (least = sg OR least = far))"""
+
+
+def _likeness(b: str) -> str:
+    """Of lists of hashes and places (ah, ap) and others: the longest chain in both, against the least hashes of both."""
+    place = f"{b}p[list_position({b}h, ah[i])]"
+    chain = f"list_transform(list_filter(range(1, CAST(len(ah) AS BIGINT) + 1), lambda i: ah[i] <= top_{b} AND list_position({b}h, ah[i]) > 0), lambda i: [{place}])"
+    put = "acc[1:len(list_filter(acc, lambda y: y < q[1]))] || q || acc[len(list_filter(acc, lambda y: y < q[1])) + 2:]"
+    return f"CASE WHEN af = {b}f THEN 1.0::DOUBLE WHEN len(ah) = 0 OR len({b}h) = 0 THEN 0.0::DOUBLE ELSE len(list_reduce({chain}, lambda acc, q: {put}, CAST([] AS BIGINT[]))) / CAST(len_{b} AS DOUBLE) END"
+
+
+FINGERPRINTS = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY coalesce(doc_id, -9223372036854775808) DESC, coalesce(text, '') DESC) AS r FROM documents),
+nx AS (SELECT d.doc_id, d.r, d.t, u.t AS u, u.r AS ur FROM d JOIN d u ON u.r = CASE WHEN d.r = (SELECT max(r) FROM d) THEN 1 ELSE d.r + 1 END),
+x AS (SELECT 2 * r AS id, t FROM d UNION ALL SELECT 2 * r + 1, left(t, length(t) - length(t) // 3) || left(u, length(t) // 3) FROM nx),
+chars AS (SELECT id, n, unnest(l) AS ch, generate_subscripts(l, 1) - 1 AS p FROM (SELECT id, length(t) AS n, regexp_extract_all(t, '(?s).') AS l FROM x WHERE t <> '')),
+raw AS (SELECT id, n, p, (unicode(ch)::UHUGEINT + {0x9E3779B97F4A7C15}::UHUGEINT) & {WORD} AS c FROM chars),
+codes AS (SELECT id, n, p, {_mixed('c')} AS c FROM raw),
+{_anchored('longs', f'n >= {3 * syncmers.K}', syncmers.K, syncmers.S)},
+{_anchored('shorts', f'n < {3 * syncmers.K}', *syncmers.SHORT)},
+firsts AS (SELECT id, h, min(p) AS p FROM (SELECT * FROM longs UNION ALL SELECT * FROM shorts) GROUP BY id, h),
+best AS (SELECT id, h, p FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY h) AS k FROM firsts) WHERE k <= {syncmers.SIZE}),
+alone AS (SELECT id, CAST('0x' || substr(sha256(t), 1, 8) AS BIGINT) AS h, CAST(0 AS BIGINT) AS p FROM x WHERE t <> '' AND id NOT IN (SELECT id FROM best)),
+f AS (SELECT x.id, coalesce(list(h ORDER BY p) FILTER (h IS NOT NULL), []) AS h, coalesce(list(p ORDER BY p) FILTER (h IS NOT NULL), []) AS p, coalesce(string_agg(printf('%08x@%x', h, p), ',' ORDER BY p), '') AS f
+ FROM x LEFT JOIN (SELECT id, h, p FROM best UNION ALL SELECT id, h, p FROM alone) z ON x.id = z.id GROUP BY x.id),
+j AS (SELECT nx.doc_id, length(nx.t) AS n_chars, sha256(e.t) AS edited_sha256, a.h AS ah, a.p AS ap, a.f AS af, b.h AS bh, b.p AS bp, b.f AS bf, c.h AS ch, c.p AS cp, c.f AS cf,
+ list_sort(list_distinct(a.h || b.h))[1:{syncmers.SIZE}] AS lb, list_sort(list_distinct(a.h || c.h))[1:{syncmers.SIZE}] AS lc
+ FROM nx JOIN x e ON e.id = 2 * nx.r + 1 JOIN f a ON a.id = 2 * nx.r JOIN f b ON b.id = 2 * nx.r + 1 JOIN f c ON c.id = 2 * nx.ur),
+k AS (SELECT *, lb[len(lb)] AS top_b, len(lb) AS len_b, lc[len(lc)] AS top_c, len(lc) AS len_c FROM j)
+SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, edited_sha256, af AS fingerprint, bf AS edited_fingerprint, {_likeness('b')} AS near_edited, {_likeness('c')} AS near_next, CAST(len(ah) AS INT) AS n_anchors FROM k"""
+
+ORACLE_SQL = {"op1_syncmers": FINGERPRINTS, "op4_secret_scan": SECRETS, "op8_suffix_dedup": REPEATS, "op9_warc": ARCHIVES, "op10_minhash": SIMILAR}

@@ -66,7 +66,7 @@ def _anchors(texts: list[str], k: int, s: int, size: int) -> list[list[tuple[int
                 out[i] = [(h, p) for p, h in sorted(found)]
     for i, t in enumerate(texts):
         if t and not out[i]:
-            out[i] = [(int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "big"), 0)]
+            out[i] = [(int.from_bytes(hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()[:4], "big"), 0)]
     return out
 
 
