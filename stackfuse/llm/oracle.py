@@ -1,11 +1,13 @@
 """SQL (DuckDB) of the llm queries that SQL can express, written from their contracts over whole tables.
 
-Token counts, grown passages, optimal buckets, edit distances and networks are beyond it: the tests hold those
+Grown passages, optimal buckets, edit distances and networks are beyond it: the tests hold those
 queries against brute force, the tokenizer library and held-out accuracy.
 """
 
 from __future__ import annotations
 
+import importlib.util
+
 from . import common as C
 from . import secrets, syncmers
 
@@ -145,4 +147,46 @@ j AS (SELECT nx.doc_id, length(nx.t) AS n_chars, sha256(e.t) AS edited_sha256, a
 k AS (SELECT *, lb[len(lb)] AS top_b, len(lb) AS len_b, lc[len(lc)] AS top_c, len(lc) AS len_c FROM j)
 SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, edited_sha256, af AS fingerprint, bf AS edited_fingerprint, {_likeness('b')} AS near_edited, {_likeness('c')} AS near_next, CAST(len(ah) AS INT) AS n_anchors FROM k"""
 
+# ---- token counts: pre-tokens by a pattern, pieces by merging the pair of least rank until none is left
+
+BLANK = "\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+PRETOKEN = f"'s|'t|'re|'ve|'m|'ll|'d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{BLANK}\\p{{L}}\\p{{N}}]+|[{BLANK}]+"
+#: Put before the last of several blanks that a word follows, as the engine has no look-ahead.
+SPLIT = "chr(1) || '|split|' || chr(2)"
+
+
+def _shown() -> str:
+    """The characters that stand for bytes in the vocabulary, with the bytes in hex."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    pairs = [(chr(b), b) for b in plain] + [(chr(256 + i), b) for i, b in enumerate(rest)]
+    return "MAP {" + ", ".join(f"{_quoted(c)}: '{b:02X}'" for c, b in pairs) + "}"
+
+
+def token_counts(path: str, limit: int = 512) -> str:
+    """For a byte-level vocabulary with the one added token <|endoftext|>."""
+    hexed = "array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: shown[c]), '')"
+    pairs = "list_transform(range(1, CAST(len(q) AS BIGINT)), lambda i: '<' || q[i] || '><' || q[i + 1] || '>')"
+    return f"""WITH RECURSIVE merges AS (SELECT rank, '<' || a || '><' || b || '>' AS pat, '<' || a || b || '>' AS whole FROM (
+ SELECT rank, {hexed.format(x="json_extract_string(m, '$[0]')")} AS a, {hexed.format(x="json_extract_string(m, '$[1]')")} AS b FROM (
+  SELECT unnest(l) AS m, generate_subscripts(l, 1) AS rank, {_shown()} AS shown FROM (SELECT CAST(json_extract(content, '$.model.merges') AS JSON[]) AS l FROM read_text({_quoted(path)}))))),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+part AS (SELECT r, unnest(string_split(t, '<|endoftext|>')) AS t FROM d),
+seg AS (SELECT r, unnest(string_split(regexp_replace(t, '([{BLANK}])([{BLANK}][^{BLANK}])', '\\1' || {SPLIT} || '\\2', 'g'), {SPLIT})) AS t FROM part),
+word AS (SELECT r, unnest(regexp_extract_all(t, {_quoted(PRETOKEN)})) AS w FROM seg),
+freq AS (SELECT r, w, count(*) AS n FROM word GROUP BY r, w),
+b AS (SELECT w, regexp_replace(hex(encode(w)), '(..)', '<\\1>', 'g') AS s, 0 AS i FROM (SELECT DISTINCT w FROM freq)
+ UNION ALL
+ SELECT w, replace(s, pat, whole) AS s, i + 1 FROM (SELECT w, s, i, arg_min(z.pat, rank) AS pat, arg_min(whole, rank) AS whole FROM (
+  SELECT w, s, i, unnest({pairs}) AS pat FROM (SELECT w, s, i, regexp_extract_all(s, '<([0-9A-F]+)>', 1) AS q FROM b)) z JOIN merges ON merges.pat = z.pat GROUP BY w, s, i)),
+pieces AS (SELECT w, length(arg_max(s, i)) - length(replace(arg_max(s, i), '<', '')) AS k FROM b GROUP BY w),
+total AS (SELECT r, sum(n * k) AS tokens, sum(n) AS pre, count(*) AS distinct_ FROM freq JOIN pieces USING (w) GROUP BY r),
+e AS (SELECT doc_id, strlen(t) AS n_bytes, len(string_split(t, '<|endoftext|>')) - 1 + coalesce(tokens, 0) AS n, pre, distinct_ FROM d LEFT JOIN total USING (r))
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n AS BIGINT) AS n_tokens, n > {limit} AS over_limit, CAST(coalesce(pre, 0) AS BIGINT) AS n_pretokens, CAST(coalesce(distinct_, 0) AS BIGINT) AS n_distinct FROM e"""
+
+
 ORACLE_SQL = {"op1_syncmers": FINGERPRINTS, "op4_secret_scan": SECRETS, "op8_suffix_dedup": REPEATS, "op9_warc": ARCHIVES, "op10_minhash": SIMILAR}
+if importlib.util.find_spec("public_tokenizers"):
+    import public_tokenizers
+
+    ORACLE_SQL["op2_token_counts"] = token_counts(public_tokenizers.path("byte_bpe_50k.json"))

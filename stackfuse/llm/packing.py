@@ -6,7 +6,8 @@ programming over it chooses the bucket boundaries that minimise padding. Inside
 the token budget takes when each is padded to the bucket's boundary.
 
 The histogram has at most `longest` rows, whatever the input, so it may come to the driver. Numbering goes by cells of a
-bucket, of about CELL sequences each, by a hash of id, piece and length: no window sees a whole bucket.
+bucket, of about CELL sequences or FULL budgets each (whichever is less), by a hash of id, piece and length: no window sees a
+whole bucket, and none grows with the input.
 
 Nulls: a null or empty text (or a length of 0 or null) is one sequence of length 0. A null id is an id like others. Repeated
 rows are separate sequences. Empty tables give empty results. Only the id and text (or length) columns are read.
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import tokens
 
-#: Sequences in a numbering cell, about; each cell ends with one batch that may not be full.
-CELL = 20_000
+#: Sequences and budgets of tokens in a numbering cell, about; each cell ends with one batch that may not be full.
+CELL, FULL = 20_000, 64
 
 
 def boundaries(lengths: list[int], counts: list[int], k: int) -> list[int]:
@@ -97,13 +98,14 @@ def place(rows: DataFrame, k: int, longest: int, budget: int) -> DataFrame:
     bounds = boundaries([a for a, _ in histogram], [b for _, b in histogram], k)
     if not bounds:
         bounds = [0]
-    inside = [sum(n for a, n in histogram if lo < a <= hi) for lo, hi in zip([-1, *bounds[:-1]], bounds, strict=True)]
+    inside = [[(a, n) for a, n in histogram if lo < a <= hi] for lo, hi in zip([-1, *bounds[:-1]], bounds, strict=True)]
+    inside = [max(sum(n for _, n in x) / CELL, sum(a * n for a, n in x) / (FULL * budget)) for x in inside]
     bucket, bound, cells, holds = F.lit(0), F.lit(bounds[0]), F.lit(1), F.lit(1)
     for i, (hi, n) in reversed(list(enumerate(zip(bounds, inside, strict=True)))):
         here = F.col("length") <= hi
         last = i == len(bounds) - 1
         put = lambda value, rest, here=here, last=last: F.lit(value) if last else F.when(here, F.lit(value)).otherwise(rest)
-        bucket, bound, cells, holds = put(i, bucket), put(hi, bound), put(max(1, round(n / CELL)), cells), put(budget // max(1, hi), holds)
+        bucket, bound, cells, holds = put(i, bucket), put(hi, bound), put(max(1, round(n)), cells), put(budget // max(1, hi), holds)
     placed = rows.withColumns({"bucket": bucket, "bucket_len": bound, "cells": cells, "holds": holds})
     placed = placed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.col("cells")).cast("int"))
     order = Window.partitionBy("bucket", "cell").orderBy("length", "doc_id", "piece")
