@@ -1,6 +1,6 @@
 """Token counts of byte-level BPE vocabularies, without token ids.
 
-Pieces are counted once per distinct pre-token that a task meets, joined to the per-document pre-token frequencies by a table in
+Pieces are counted once per distinct pre-token that a worker meets, joined to the per-document pre-token frequencies by a table in
 memory, and summed; no document has a list of ids. The merges of such a vocabulary never cross a pre-token, so the sums are exact. Strings of
 added tokens inside a text count one each, as the library does by default; texts between them are cut separately.
 
@@ -25,8 +25,8 @@ from . import common as C
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
 #: Texts with others go through the library's own pre-tokenizer, as versions of Unicode differ in what is a letter.
 OTHER = re.compile("[^\\t-\\r -~\\xa0-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u024f\\u2010-\\u2026]")
-#: So many counted pre-tokens are remembered in a task at most; then the memory starts anew.
-REMEMBERED = 800_000
+#: So many counted pre-tokens are remembered in a worker at most (about 100 bytes each); then the memory starts anew.
+REMEMBERED = 500_000
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_pretokens long, n_distinct long"
 
@@ -150,6 +150,17 @@ class _Pieces(dict):
         return n
 
 
+_MADE: dict[str, Counts] = {}
+
+
+def _counts(path: str) -> Counts:
+    """A worker's counter; what it remembers serves all tasks that the worker runs."""
+    if path not in _MADE:
+        _MADE.clear()
+        _MADE[path] = Counts(path)
+    return _MADE[path]
+
+
 def _in_bytes(word: str, most: int) -> list[str]:
     """A word in parts of at most most bytes (or one character)."""
     out, start, size = [], 0, 0
@@ -167,7 +178,7 @@ def token_sequences(docs: DataFrame, path: str, longest: int, id_col: str = "doc
     the text again; an empty or null one is a piece of length 0. No shuffle."""
 
     def work(batches):
-        counter = Counts(path)
+        counter = _counts(path)
         for batch in batches:
             texts = C.texts_of(batch.column("text"))
             for start, end in C.runs([len(t) for t in texts], 2 * C.BLOCK_BYTES):
@@ -196,7 +207,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
 
     def work(batches):
-        counter = Counts(path)
+        counter = _counts(path)
         for batch in batches:
             texts = C.texts_of(batch.column("text"))
             for start, end in C.runs([len(t) for t in texts], 2 * C.BLOCK_BYTES):
