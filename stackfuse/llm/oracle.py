@@ -1,6 +1,6 @@
 """SQL (DuckDB) of the llm queries that SQL can express, written from their contracts over whole tables.
 
-Grown passages, optimal buckets, edit distances and networks are beyond it: the tests hold those
+Grown passages, edit distances and networks are beyond it: the tests hold those
 queries against brute force, the tokenizer library and held-out accuracy.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 import importlib.util
 
 from . import common as C
-from . import secrets, syncmers
+from . import packing, secrets, syncmers
 
 LATE = 2**63 - 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -163,30 +163,63 @@ def _shown() -> str:
     return "MAP {" + ", ".join(f"{_quoted(c)}: '{b:02X}'" for c, b in pairs) + "}"
 
 
-def token_counts(path: str, limit: int = 512) -> str:
-    """For a byte-level vocabulary with the one added token <|endoftext|>."""
+def _pieces(path: str) -> str:
+    """CTEs: d (the texts, numbered by r), word (their pre-tokens in order: part, seg, k), pieces (of each distinct one, k pieces)."""
     hexed = "array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: shown[c]), '')"
     pairs = "list_transform(range(1, CAST(len(q) AS BIGINT)), lambda i: '<' || q[i] || '><' || q[i + 1] || '>')"
-    return f"""WITH RECURSIVE merges AS (SELECT rank, '<' || a || '><' || b || '>' AS pat, '<' || a || b || '>' AS whole FROM (
+    return f"""merges AS (SELECT rank, '<' || a || '><' || b || '>' AS pat, '<' || a || b || '>' AS whole FROM (
  SELECT rank, {hexed.format(x="json_extract_string(m, '$[0]')")} AS a, {hexed.format(x="json_extract_string(m, '$[1]')")} AS b FROM (
   SELECT unnest(l) AS m, generate_subscripts(l, 1) AS rank, {_shown()} AS shown FROM (SELECT CAST(json_extract(content, '$.model.merges') AS JSON[]) AS l FROM read_text({_quoted(path)}))))),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-part AS (SELECT r, unnest(string_split(t, '<|endoftext|>')) AS t FROM d),
-seg AS (SELECT r, unnest(string_split(regexp_replace(t, '([{BLANK}])([{BLANK}][^{BLANK}])', '\\1' || {SPLIT} || '\\2', 'g'), {SPLIT})) AS t FROM part),
-word AS (SELECT r, unnest(regexp_extract_all(t, {_quoted(PRETOKEN)})) AS w FROM seg),
-freq AS (SELECT r, w, count(*) AS n FROM word GROUP BY r, w),
-b AS (SELECT w, regexp_replace(hex(encode(w)), '(..)', '<\\1>', 'g') AS s, 0 AS i FROM (SELECT DISTINCT w FROM freq)
+part AS (SELECT r, unnest(l) AS t, generate_subscripts(l, 1) AS part FROM (SELECT r, string_split(t, '<|endoftext|>') AS l FROM d)),
+seg AS (SELECT r, part, unnest(l) AS t, generate_subscripts(l, 1) AS seg FROM (
+ SELECT r, part, string_split(regexp_replace(t, '([{BLANK}])([{BLANK}][^{BLANK}])', '\\1' || {SPLIT} || '\\2', 'g'), {SPLIT}) AS l FROM part)),
+word AS (SELECT r, part, seg, unnest(l) AS w, generate_subscripts(l, 1) AS k FROM (SELECT r, part, seg, regexp_extract_all(t, {_quoted(PRETOKEN)}) AS l FROM seg)),
+b AS (SELECT w, regexp_replace(hex(encode(w)), '(..)', '<\\1>', 'g') AS s, 0 AS i FROM (SELECT DISTINCT w FROM word)
  UNION ALL
  SELECT w, replace(s, pat, whole) AS s, i + 1 FROM (SELECT w, s, i, arg_min(z.pat, rank) AS pat, arg_min(whole, rank) AS whole FROM (
   SELECT w, s, i, unnest({pairs}) AS pat FROM (SELECT w, s, i, regexp_extract_all(s, '<([0-9A-F]+)>', 1) AS q FROM b)) z JOIN merges ON merges.pat = z.pat GROUP BY w, s, i)),
-pieces AS (SELECT w, length(arg_max(s, i)) - length(replace(arg_max(s, i), '<', '')) AS k FROM b GROUP BY w),
+pieces AS (SELECT w, length(arg_max(s, i)) - length(replace(arg_max(s, i), '<', '')) AS k FROM b GROUP BY w)"""
+
+
+def token_counts(path: str, limit: int = 512) -> str:
+    """For a byte-level vocabulary with the one added token <|endoftext|>."""
+    return f"""WITH RECURSIVE {_pieces(path)},
+freq AS (SELECT r, w, count(*) AS n FROM word GROUP BY r, w),
 total AS (SELECT r, sum(n * k) AS tokens, sum(n) AS pre, count(*) AS distinct_ FROM freq JOIN pieces USING (w) GROUP BY r),
 e AS (SELECT doc_id, strlen(t) AS n_bytes, len(string_split(t, '<|endoftext|>')) - 1 + coalesce(tokens, 0) AS n, pre, distinct_ FROM d LEFT JOIN total USING (r))
 SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n AS BIGINT) AS n_tokens, n > {limit} AS over_limit, CAST(coalesce(pre, 0) AS BIGINT) AS n_pretokens, CAST(coalesce(distinct_, 0) AS BIGINT) AS n_distinct FROM e"""
 
 
+def packed(path: str, k: int = 16, longest: int = 4096, budget: int = 65_536) -> str:
+    """Sequences by going through a text's pre-tokens (none of which has more than longest tokens), bounds by dynamic programming
+    over the lengths that occur (of equally good ones, those with the least lower bounds)."""
+    return f"""WITH RECURSIVE {_pieces(path)},
+every AS (SELECT r, part, seg, word.k AS k, length(w) AS chars, pieces.k AS n FROM word JOIN pieces USING (w) UNION ALL SELECT r, part, 0, 0, 13, 1 FROM part WHERE part > 1),
+run AS (SELECT r, row_number() OVER o AS i, sum(n) OVER (o ROWS UNBOUNDED PRECEDING) AS tokens, sum(chars) OVER (o ROWS UNBOUNDED PRECEDING) AS chars FROM every WINDOW o AS (PARTITION BY r ORDER BY part, seg, k)),
+cut AS (SELECT r, 0 AS piece, CAST(0 AS BIGINT) AS i, CAST(0 AS HUGEINT) AS tokens, CAST(0 AS HUGEINT) AS chars FROM d
+ UNION ALL
+ SELECT r, piece + 1, max(run.i), max(run.tokens), max(run.chars) FROM cut JOIN run USING (r) WHERE run.i > cut.i AND run.tokens <= cut.tokens + {longest} GROUP BY r, piece),
+ends AS (SELECT r, piece, chars AS start, lead(tokens) OVER o - tokens AS length FROM cut WINDOW o AS (PARTITION BY r ORDER BY piece)),
+seq AS (SELECT doc_id, piece, CAST(start AS BIGINT) AS start, CAST(coalesce(length, 0) AS INT) AS length FROM ends JOIN d USING (r) WHERE length IS NOT NULL OR piece = 0),
+hist AS (SELECT length AS x, count(*) AS n FROM seq GROUP BY length),
+h AS (SELECT row_number() OVER (ORDER BY x) AS j, x, CAST(sum(n) OVER (ORDER BY x) AS BIGINT) AS total, CAST(sum(n * x) OVER (ORDER BY x) AS BIGINT) AS weight FROM hist UNION ALL SELECT 0, 0, 0, 0),
+best AS (SELECT 1 AS round, j, total * x - weight AS waste, CASE WHEN j > 0 THEN [x] ELSE CAST([] AS INT[]) END AS bounds FROM h
+ UNION ALL
+ SELECT round + 1, j, min(cost), arg_min(bounds, {{'cost': cost, 'i': i}}) FROM (
+  SELECT round, b.j, b.waste + CASE WHEN a.j = 0 AND b.j = 0 THEN 0 ELSE 0 END AS unused, a.j AS i, CASE WHEN b.j = 0 THEN 0 ELSE a.waste + (b.total - a.total) * b.x - (b.weight - a.weight) END AS cost, CASE WHEN b.j = 0 THEN a.bounds ELSE a.bounds || [b.x] END AS bounds
+  FROM (SELECT round, h.j, waste, bounds, total, weight FROM best JOIN h USING (j)) a JOIN (SELECT j, total, weight, x, 0 AS waste FROM h) b ON a.j < b.j OR a.j = 0 AND b.j = 0) WHERE round < {k} GROUP BY round, j),
+bounds AS (SELECT unnest(bounds) AS hi FROM best WHERE j = (SELECT max(j) FROM h) AND round = (SELECT max(round) FROM best)),
+bucket AS (SELECT CAST(row_number() OVER (ORDER BY hi) - 1 AS INT) AS bucket, coalesce(lag(hi) OVER (ORDER BY hi), -1) AS lo, hi FROM (SELECT DISTINCT hi FROM bounds)),
+size AS (SELECT bucket, hi, {budget} // greatest(1, hi) AS holds, CAST(greatest(1, round_even(greatest(count(*) / {packing.CELL}, sum(length) / {packing.FULL * budget}), 0)) AS BIGINT) AS cells FROM seq JOIN bucket ON length > lo AND length <= hi GROUP BY bucket, hi),
+placed AS (SELECT seq.*, bucket, hi, holds, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || piece || ':' || length), 1, 8))::BIGINT % cells AS INT) AS cell FROM seq JOIN bucket ON length > lo AND length <= bucket.hi JOIN size USING (bucket, hi)),
+spot AS (SELECT *, row_number() OVER (PARTITION BY bucket, cell ORDER BY length, doc_id NULLS FIRST, piece) - 1 AS at_ FROM placed)
+SELECT doc_id, CAST(piece AS INT) AS piece, start, length, bucket, CAST(hi AS INT) AS bucket_len, cell, CAST(at_ // holds AS BIGINT) AS batch, CAST(at_ % holds AS INT) AS slot FROM spot"""
+
+
 ORACLE_SQL = {"op1_syncmers": FINGERPRINTS, "op4_secret_scan": SECRETS, "op8_suffix_dedup": REPEATS, "op9_warc": ARCHIVES, "op10_minhash": SIMILAR}
 if importlib.util.find_spec("public_tokenizers"):
     import public_tokenizers
 
     ORACLE_SQL["op2_token_counts"] = token_counts(public_tokenizers.path("byte_bpe_50k.json"))
+    ORACLE_SQL["op5_packing"] = packed(public_tokenizers.path("byte_bpe_50k.json"))

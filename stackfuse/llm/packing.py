@@ -107,7 +107,8 @@ def place(rows: DataFrame, k: int, longest: int, budget: int) -> DataFrame:
         put = lambda value, rest, here=here, last=last: F.lit(value) if last else F.when(here, F.lit(value)).otherwise(rest)
         bucket, bound, cells, holds = put(i, bucket), put(hi, bound), put(max(1, round(n)), cells), put(budget // max(1, hi), holds)
     placed = rows.withColumns({"bucket": bucket, "bucket_len": bound, "cells": cells, "holds": holds})
-    placed = placed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.col("cells")).cast("int"))
+    name = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "piece", "length")))
+    placed = placed.withColumn("cell", (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % F.col("cells")).cast("int"))
     order = Window.partitionBy("bucket", "cell").orderBy("length", "doc_id", "piece")
     at = (F.row_number().over(order) - 1).cast("long")
     return placed.withColumn("at", at).select(*rows.columns, "bucket", "bucket_len", "cell", F.floor(F.col("at") / F.col("holds")).cast("long").alias("batch"), (F.col("at") % F.col("holds")).cast("int").alias("slot"))

@@ -416,12 +416,12 @@ def _sorter(shallow: int, keep: bool):
     return work
 
 
-def _round(units: DataFrame, total: int, length: int, shallow: int, keep: bool, name: str) -> tuple[DataFrame, DataFrame]:
+def _round(units: DataFrame, total: int, length: int, shallow: int, keep: bool, size: int) -> tuple[DataFrame, DataFrame]:
     """Sorts units: the spans that go, and the sorted strings themselves."""
-    n = max(C.partitions(units.sparkSession), -(-total // SORTED))
+    n = max(C.partitions(units.sparkSession), -(-total // size))
     dealt = units.repartitionByRange(n, "bytes", "d", "t", "start")
     with C.conf(units.sparkSession, "spark.sql.execution.rangeExchange.sampleSizePerPartition", "30"):  # the sample comes to the driver
-        done = C.saved(dealt.select("key", "d", "t", "start", "windows", "bytes").mapInArrow(_sorter(shallow, keep), UNIT + ", state byte"), name)
+        done = C.saved(dealt.select("key", "d", "t", "start", "windows", "bytes").mapInArrow(_sorter(shallow, keep), UNIT + ", state byte"), "suffix-sorted")
     place = F.struct("d", "t", "start")
     edges = done.where(F.col("state") == EDGE)
     first = edges.groupBy("bytes").agg(F.min(place).alias("first"))
@@ -444,8 +444,12 @@ def _total(units: DataFrame, length: int) -> int:
     return int(units.agg(F.sum(F.col("windows").cast("long") + (length - 1))).first()[0] or 0)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", k: int = K, shallow: int = SHALLOW, cell: int = CELL) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (spans in bytes)."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", k: int = K, shallow: int = SHALLOW, cell: int = CELL, sorted_bytes: int = SORTED) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (spans in bytes).
+
+    sorted_bytes: strings that a task sorts at once, about; they come to one to three times the repeated text, so a very large
+    corpus on large executors may take more of them in fewer tasks.
+    """
     if not max(k, cell + 1) <= length <= 1000 + k:
         raise ValueError("length must be k at least, more than cell, and 1000 + k at most")
     spark = docs.sparkSession
@@ -467,18 +471,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     C.release(spark, again, kinds)
 
     copied = strings.where("copied")
-    spans, _ = _round(copied.select(F.lit(0).cast("long").alias("key"), "d", "t", "start", "windows", "bytes"), _total(copied, length), length, shallow, False, "suffix-sorted")
+    spans, _ = _round(copied.select(F.lit(0).cast("long").alias("key"), "d", "t", "start", "windows", "bytes"), _total(copied, length), length, shallow, False, sorted_bytes)
 
     several = strings.where("mixed").select("d", "t", "start", "windows", "bytes")
     keys = several.mapInArrow(_cells(length, k, cell, True), "key long, n byte").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
     cells = C.saved(several.mapInArrow(_cells(length, k, cell, False), UNIT).join(keys, "key").select(*[x.split()[0] for x in UNIT.split(", ")]), "suffix-cells")
     C.release(spark, strings)
-    more, kept = _round(cells, _total(cells, length), length, shallow, True, "suffix-sorted")
+    more, kept = _round(cells, _total(cells, length), length, shallow, True, sorted_bytes)
     kept = kept.where(F.col("state") == KEPT)
     shared = kept.groupBy("key").count().where("count > 1").select("key")
     left = C.saved(kept.join(shared, "key").select("key", "d", "t", "start", "windows", "bytes"), "suffix-left")
     C.release(spark, cells)
     singles = int(left.agg(F.sum("windows")).first()[0] or 0)
-    last, _ = _round(left.mapInArrow(_windows(length), UNIT), singles * length, length, shallow, False, "suffix-sorted")
+    last, _ = _round(left.mapInArrow(_windows(length), UNIT), singles * length, length, shallow, False, sorted_bytes)
     lists = spans.union(more).union(last).repartition(C.partitions(spark), "d", "t").groupBy("d", "t").agg(F.collect_set("span").alias("spans"))
     return C.cut_found(rows, lists, _packed(length))

@@ -84,9 +84,9 @@ def test_suffixes_equal_brute_force(unique, cell):
     assert found_repeats(unique, cell=cell) == want and sum(w[1] for w in want.values()) > 5000
 
 
-def test_ranges_of_few_bytes_give_the_same(unique, monkeypatch):
-    monkeypatch.setattr(suffixes, "SORTED", 20_000)  # equal strings go on from range to range
-    assert found_repeats(unique) == brute_repeats(texts(unique), 100)
+def test_ranges_of_few_bytes_give_the_same(unique):
+    # equal strings go on from range to range
+    assert found_repeats(unique, sorted_bytes=20_000) == brute_repeats(texts(unique), 100)
 
 
 def test_the_sort_decides(monkeypatch):
