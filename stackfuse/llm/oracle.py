@@ -1,6 +1,6 @@
 """SQL (DuckDB) of the llm queries that SQL can express, written from their contracts over whole tables.
 
-Grown passages, edit distances and networks are beyond it: the tests hold those
+Edit distances and networks are beyond it: the tests hold those
 queries against brute force, the tokenizer library and held-out accuracy.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 import importlib.util
 
 from . import common as C
-from . import packing, secrets, syncmers
+from . import chunks, packing, secrets, syncmers
 
 LATE = 2**63 - 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,6 +77,43 @@ z AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS stop, s
 SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
  sha256(unhex(coalesce(head, '') || substr(x, CAST(2 * coalesce(stop, 0) + 1 AS BIGINT)))) AS kept_sha256 FROM t LEFT JOIN z USING (doc_id)"""
 
+
+
+def _cut_out(spans: str, where: str) -> str:
+    """CTEs and query that cut intervals (doc_id, a, b) out of the texts t (doc_id, x: bytes in hex)."""
+    return f"""n AS (SELECT doc_id, a, b, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM {spans}),
+s AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM (SELECT doc_id, a, b, sum(opens) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM n) GROUP BY doc_id, run HAVING {where}),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS back FROM s),
+z AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS stop, string_agg(substr(x, CAST(2 * back + 1 AS BIGINT), CAST(2 * (a - back) AS BIGINT)), '' ORDER BY a) AS head FROM k JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+ sha256(unhex(coalesce(head, '') || substr(x, CAST(2 * coalesce(stop, 0) + 1 AS BIGINT)))) AS kept_sha256 FROM t LEFT JOIN z USING (doc_id)"""
+
+
+def passages() -> str:
+    """Seeds where the gear hash is least in some window; those that repeat grow against the first; long runs go."""
+    gram, spread = chunks.GRAM, chunks.SPREAD
+    codes = ", ".join(str(int(g)) for g in chunks.GEAR)
+    rolled = " + ".join(f"((lag(g, {j}) OVER w << {j}) & 4294967295)" if j else "g" for j in range(gram))
+    one = "substr({t}, CAST(2 * ({at}) + 1 AS BIGINT), 2)"
+    other = lambda side: f"list_position(list_transform(range(1, {side}_most + 1), lambda j: {{0}} <> {{1}}), true)"
+    left = other("left").format(one.format(t="lx", at="left_most - j"), one.format(t="ly", at="left_most - j"))
+    right = other("right").format(one.format(t="rx", at="j - 1"), one.format(t="ry", at="j - 1"))
+    cut = lambda x, at, n: f"substr({x}, CAST(2 * ({at}) + 1 AS BIGINT), CAST(2 * ({n}) AS BIGINT))"
+    return f"""WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+byte AS (SELECT doc_id, unnest(l) AS b, generate_subscripts(l, 1) - 1 AS p FROM (SELECT doc_id, regexp_extract_all(x, '..') AS l FROM t)),
+code AS (SELECT doc_id, p, CAST([{codes}][1 + CAST('0x' || b AS INT)] AS BIGINT) AS g FROM byte),
+hash AS (SELECT doc_id, p - {gram - 1} AS s, ({rolled}) & 4294967295 AS h FROM code WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+least AS (SELECT doc_id, min(h::UBIGINT * 4294967296 + s::UBIGINT) OVER w AS m, count(*) OVER w AS n FROM hash WHERE s >= 0 WINDOW w AS (PARTITION BY doc_id ORDER BY s ROWS BETWEEN CURRENT ROW AND {spread - 1} FOLLOWING)),
+seed AS (SELECT DISTINCT doc_id, CAST(m % 4294967296 AS BIGINT) AS s FROM least WHERE n = {spread}),
+named AS (SELECT doc_id, s, {cut('x', 's', gram)} AS key FROM seed JOIN t USING (doc_id)),
+first AS (SELECT key, min((doc_id, s)) AS f FROM named GROUP BY key HAVING count(*) > 1),
+pair AS (SELECT n.doc_id, n.s, f.f[1] AS d0, f.f[2] AS s0 FROM named n JOIN first f USING (key) WHERE (n.doc_id, n.s) > f.f),
+room AS (SELECT pair.*, t.x AS x, u.x AS y, least({spread}, s, s0) AS left_most, least({spread}, length(t.x) // 2 - s - {gram}, length(u.x) // 2 - s0 - {gram}) AS right_most FROM pair JOIN t USING (doc_id) JOIN t u ON u.doc_id = d0),
+side AS (SELECT doc_id, s, left_most, right_most, {cut('x', 's - left_most', 'left_most')} AS lx, {cut('y', 's0 - left_most', 'left_most')} AS ly, {cut('x', f's + {gram}', 'right_most')} AS rx, {cut('y', f's0 + {gram}', 'right_most')} AS ry FROM room),
+grown AS (SELECT doc_id, s - coalesce(nullif({left}, 0) - 1, left_most) AS a, s + {gram} + coalesce(nullif({right}, 0) - 1, right_most) AS b FROM side),
+{_cut_out('grown', f'max(b) - min(a) >= {chunks.LEAST}')}"""
+
+
 SIMILAR = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, CAST(len(w) AS BIGINT)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s FROM d),
 k AS (SELECT doc_id, s, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS k FROM s),
@@ -217,7 +254,7 @@ spot AS (SELECT *, row_number() OVER (PARTITION BY bucket, cell ORDER BY length,
 SELECT doc_id, CAST(piece AS INT) AS piece, start, length, bucket, CAST(hi AS INT) AS bucket_len, cell, CAST(at_ // holds AS BIGINT) AS batch, CAST(at_ % holds AS INT) AS slot FROM spot"""
 
 
-ORACLE_SQL = {"op1_syncmers": FINGERPRINTS, "op4_secret_scan": SECRETS, "op8_suffix_dedup": REPEATS, "op9_warc": ARCHIVES, "op10_minhash": SIMILAR}
+ORACLE_SQL = {"op1_syncmers": FINGERPRINTS, "op3_chunk_dedup": passages(), "op4_secret_scan": SECRETS, "op8_suffix_dedup": REPEATS, "op9_warc": ARCHIVES, "op10_minhash": SIMILAR}
 if importlib.util.find_spec("public_tokenizers"):
     import public_tokenizers
 
