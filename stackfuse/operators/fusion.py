@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixels as P
+from ..session import kept
 from . import spatial as S
 
 
@@ -106,11 +107,11 @@ def fused(df: DataFrame, keys: Sequence[str], height: int, width: int, levels: i
     """A stack as one image: (keys without frame, y, x, v), not clipped.
 
     df: the pixels of all frames and, where keys have one, channels. light: the lightness that weighs them, by default the
-    values themselves.
+    values themselves. Bands are used several times, so they are written to the shared folder once.
     """
     levels = level_count(height, width) if levels is None else levels
-    bands = pyramid(df, keys, height, width, levels)
+    bands = [kept(b, "bands") for b in pyramid(df, keys, height, width, levels)]
     own = light_keys or keys
-    energy = weights(pyramid(light, own, height, width, levels) if light is not None else bands, own, sharpness)
+    energy = weights([kept(b, "bands") for b in pyramid(light, own, height, width, levels)] if light is not None else bands, own, sharpness)
     done = [finished(x) for x in sums(bands, energy, frame, keys)]
     return collapsed(done, [k for k in keys if k != frame], height, width)
