@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
 from . import spatial as S
 
 
@@ -47,7 +48,9 @@ def equalised(df: DataFrame, keys: Sequence[str], height: int, width: int, tiles
 
 
 def high_low_ratio(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Of score maps `e`: fine against coarse energy where there is any, as `score`; 0 for an empty map."""
+    """Of score maps `e`: fine against coarse energy where there is any, as `score`; 0 for an empty map. The maps are used twice,
+    so they are written to the shared folder once."""
+    df = kept(df.select(*keys, "y", "x", "e"), "scores")
     peak = df.groupBy(*keys).agg(F.max("e").alias("peak"))  # a row per image
     norm = df.join(peak, list(keys)).select(*keys, "y", "x", (F.col("e") / (F.col("peak") + 1e-8)).alias("v")).withColumn("low", F.col("v"))
     both = S.blur(norm, keys, 31, "low")
