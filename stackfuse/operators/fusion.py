@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pixels as P
@@ -56,44 +56,77 @@ def stacked(bands: list[DataFrame]) -> DataFrame:
 
 def region_energy(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The mean of squares over 3 x 3 pixels, as `e`."""
-    return S.box(df.select(*keys, "y", "x", (F.col("v") * F.col("v")).alias("e")), keys, 3, "e")
+    return _with_energy(df, keys).select(*keys, "y", "x", "e")
+
+
+def _with_energy(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return S.box(df.withColumn("e", F.col("v") * F.col("v")), keys, 3, "e")
 
 
 def region_deviation(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The standard deviation over 3 x 3 pixels, as `d`."""
-    both = df.select(*keys, "y", "x", F.col("v").alias("m"), (F.col("v") * F.col("v")).alias("q"))
+    return _with_deviation(df, keys).select(*keys, "y", "x", "d")
+
+
+def _with_deviation(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    both = df.withColumns({"m": F.col("v"), "q": F.col("v") * F.col("v")})
     for axis in ("x", "y"):  # both values in one pass over the lines of each axis
         for value in ("m", "q"):
             both = S.filtered(both, keys, axis, [1 / 3] * 3, first=-1, value=value)
-    return both.select(*keys, "y", "x", F.sqrt(F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0))).alias("d"))
+    return both.withColumn("d", F.sqrt(F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0)))).drop("m", "q")
 
 
 def region_entropy(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The mean over 8 x 8 pixels of the binary entropy of values scaled to 0..1 over the image, as `h`."""
-    ends = df.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))  # a row per image
+    return S.box(_with_bits(df, keys), keys, 8, "h").select(*keys, "y", "x", "h")
+
+
+def _with_bits(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The entropy of each pixel, as `h`, before it is averaged."""
     eps = 1e-10
-    p = F.col("p")
-    scaled = df.join(ends, list(keys)).select(*keys, "y", "x", ((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo") + eps)).alias("p"))
-    raw = scaled.withColumn("h", 0.0 - p * F.log2(p + eps) - (1 - p) * F.log2(1 - p + eps)).drop("p")
-    return S.box(raw, keys, 8, "h")
+    image, p = Window.partitionBy(*keys), F.col("p")
+    lo, hi = F.min("v").over(image), F.max("v").over(image)
+    scaled = df.withColumn("p", (F.col("v") - lo) / (hi - lo + eps))
+    return scaled.withColumn("h", 0.0 - p * F.log2(p + eps) - (1 - p) * F.log2(1 - p + eps)).drop("p")
+
+
+def _with_deviation_and_entropy(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`d` and `h` in one pass over the lines of each axis."""
+    both = _with_bits(df, keys).withColumns({"m": F.col("v"), "q": F.col("v") * F.col("v")})
+    for axis in ("x", "y"):
+        for value, size in (("m", 3), ("q", 3), ("h", 8)):
+            both = S.filtered(both, keys, axis, [1 / size] * size, first=-(size // 2), value=value)
+    return both.withColumn("d", F.sqrt(F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0)))).drop("m", "q")
+
+
+def weighed(bands: list[DataFrame], keys: Sequence[str], sharpness: float) -> list[DataFrame]:
+    """The bands with focus weights `e`: of bands the energy, of the rest deviation and entropy; to the power of sharpness.
+
+    A pixel keeps its value through the filters, so nothing is joined, and after the first pass over whole images of the rest
+    nothing more is dealt out."""
+    fine = [_with_energy(b, keys).withColumn("e", F.pow("e", F.lit(sharpness))) for b in bands[:-1]]
+    rest = _with_deviation_and_entropy(bands[-1], keys)
+    return [*fine, rest.withColumn("e", F.pow((F.col("d") + F.col("h")) * 0.5, F.lit(sharpness))).drop("d", "h")]
 
 
 def weights(bands: list[DataFrame], keys: Sequence[str], sharpness: float) -> list[DataFrame]:
-    """Focus weights `e` of each level: of bands the energy, of the rest deviation and entropy; to the power of sharpness."""
-    out = [region_energy(b, keys).withColumn("e", F.pow("e", F.lit(sharpness))) for b in bands[:-1]]
-    both = region_deviation(bands[-1], keys).join(region_entropy(bands[-1], keys), [*keys, "y", "x"])
-    return [*out, both.select(*keys, "y", "x", F.pow((F.col("d") + F.col("h")) * 0.5, F.lit(sharpness)).alias("e"))]
+    """The weights alone."""
+    return [b.drop("v") for b in weighed(bands, keys, sharpness)]
 
 
 def sums(bands: list[DataFrame], energy: list[DataFrame], frame: str, keys: Sequence[str]) -> list[DataFrame]:
-    """Per level and pixel over all frames: se, sex, sx, n. Sums combine before the shuffle; keys: those of an image but frame."""
-    own = [k for k in keys if k != frame]
+    """Per level and pixel over all frames: se, sex, sx, n. Sums combine before the shuffle; keys: those of an image but frame.
+
+    The bands may be files of a byte or less a pixel. Their size says nothing of the memory that a broadcast of them takes in
+    the driver, so these joins are never one."""
     on = [k for k in energy[0].columns if k in keys]
-    out = []
-    for b, e in zip(bands, energy, strict=True):
-        both = b.join(e, [*on, "y", "x"])
-        out.append(both.groupBy(*own, "y", "x").agg(F.sum("e").alias("se"), F.sum(F.col("e") * F.col("v")).alias("sex"), F.sum("v").alias("sx"), F.count(F.lit(1)).alias("n")))
-    return out
+    return summed([b.hint("merge").join(e, [*on, "y", "x"]) for b, e in zip(bands, energy, strict=True)], frame, keys)
+
+
+def summed(both: list[DataFrame], frame: str, keys: Sequence[str]) -> list[DataFrame]:
+    """The same of bands that have their weights."""
+    own = [k for k in keys if k != frame]
+    return [b.groupBy(*own, "y", "x").agg(F.sum("e").alias("se"), F.sum(F.col("e") * F.col("v")).alias("sex"), F.sum("v").alias("sx"), F.count(F.lit(1)).alias("n")) for b in both]
 
 
 def finished(part: DataFrame) -> DataFrame:
@@ -106,12 +139,17 @@ def finished(part: DataFrame) -> DataFrame:
 def fused(df: DataFrame, keys: Sequence[str], height: int, width: int, levels: int | None = None, sharpness: float = 4.0, frame: str = "frame_idx", light: DataFrame | None = None, light_keys: Sequence[str] | None = None) -> DataFrame:
     """A stack as one image: (keys without frame, y, x, v), not clipped.
 
-    df: the pixels of all frames and, where keys have one, channels. light: the lightness that weighs them, by default the
-    values themselves. Bands are used several times, so they are written to the shared folder once.
+    df: the pixels of all frames and, where keys have one, channels; those with a null among the keys belong to no frame. light:
+    the lightness that weighs them, by default the values themselves. Bands that are used several times are written to the
+    shared folder once.
     """
     levels = level_count(height, width) if levels is None else levels
-    bands = [kept(b, "bands") for b in pyramid(df, keys, height, width, levels)]
-    own = light_keys or keys
-    energy = weights([kept(b, "bands") for b in pyramid(light, own, height, width, levels)] if light is not None else bands, own, sharpness)
-    done = [finished(x) for x in sums(bands, energy, frame, keys)]
-    return collapsed(done, [k for k in keys if k != frame], height, width)
+    made = pyramid(df.where(functools.reduce(Column.__and__, (F.col(k).isNotNull() for k in keys))), keys, height, width, levels)
+    if light is None:
+        both = weighed([kept(b, "bands") for b in made] if levels else made, keys, sharpness)
+        parts = summed(both, frame, keys)
+    else:
+        own = light_keys or keys
+        energy = weights([kept(b, "bands") for b in pyramid(light, own, height, width, levels)], own, sharpness)
+        parts = sums([kept(b, "bands") for b in made], energy, frame, keys)
+    return collapsed([finished(x) for x in parts], [k for k in keys if k != frame], height, width)

@@ -40,10 +40,10 @@ def raster_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten stacks of 8 x 8 frames: stack_id, frame_idx, y, x, v."""
+    """Ten stacks of 8 x 8 frames: stack_id, frame_idx, y, x, v. Frames are dealt out whole, before they become pixels."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("stack_id"), "vec_id", "embedding")
     numbered = rows.withColumn("frame_idx", (F.row_number().over(Window.partitionBy("stack_id").orderBy("vec_id")) - 1).cast("int"))
-    cells = numbered.select("stack_id", "frame_idx", F.posexplode("embedding").alias("p", "e"))
+    cells = numbered.repartition("stack_id", "frame_idx").select("stack_id", "frame_idx", F.posexplode("embedding").alias("p", "e"))
     return cells.select("stack_id", "frame_idx", F.floor(F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).cast("int").alias("x"), F.floor((F.col("e").cast("double") + 1) * 127.5).cast("double").alias("v"))
 
 

@@ -68,6 +68,24 @@ def test_order_of_frames_does_not_matter(df, imgs):
     assert np.allclose(a, b, atol=1e-9)
 
 
+@pytest.mark.parametrize("light", [False, True])
+def test_fusion_never_broadcasts_pixels(spark, df, light):
+    """Files of bands are so much smaller than their rows that a broadcast of them, planned by the files, fills the driver."""
+    pixels = df.select("*", F.lit(0).alias("c"))
+    done = fusion.fused(pixels, ["frame_idx", "c"], 19, 22, 0, light=df if light else None, light_keys=["frame_idx"] if light else None)
+    assert "Broadcast" not in done._jdf.queryExecution().executedPlan().toString()
+    assert done.count() == 19 * 22
+
+
+def test_frames_without_a_stack_are_left_out(spark, df, imgs):
+    """As the joins of the SQL do."""
+    stacks = df.select(F.when(F.col("frame_idx") > 0, 7).alias("stack_id"), "frame_idx", "y", "x", "v")
+    done = fusion.fused(stacks, ["stack_id", "frame_idx"], 19, 22, 0).cache()
+    want = fusion.fused(df.where("frame_idx > 0"), ["frame_idx"], 19, 22, 0)
+    assert [r["stack_id"] for r in done.select("stack_id").distinct().collect()] == [7]
+    assert np.allclose(grid(done, imgs[0].shape), grid(want, imgs[0].shape), atol=1e-9)
+
+
 def test_blocks_equal_relations(df, imgs):
     from stackfuse.plans import blocks
 
